@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, parity_join, suffix_dedup
+from sparkloom.llm import decontam, langid, mixing, parity_join, suffix_dedup
 
 STAGES = [
     ("language id", langid.stage),
     ("n-gram Jaccard join", parity_join.stage),
     ("suffix-array dedup", suffix_dedup.stage),
+    ("benchmark decontamination", decontam.stage),
+    ("mixing", mixing.stage),
 ]
 
 #: The stages train a model, expand suffix intervals and compare sketches; the tests compare them with brute force.

@@ -166,6 +166,15 @@ def unpack(blob, *kinds) -> list[np.ndarray]:
     return out
 
 
+def squeezed(blob: bytes) -> bytes:
+    """Compressed, for text that is sent; expanded() undoes it."""
+    return np.int64(len(blob)).tobytes() + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def expanded(blob) -> bytes:
+    return pa.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), codec="zstd", asbytes=True)
+
+
 def merged_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by half-open ranges; ranges that touch are one run."""
     if len(starts) == 0:

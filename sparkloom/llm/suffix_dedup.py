@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, bucket_count, by_bucket, chunks, corpus_size, gram_hash, mix, pack, prefix_sums, range_hash, ranges, sliding_argmin, unpack
+from .common import BYTE_CODES, bucket_count, by_bucket, chunks, corpus_size, expanded, gram_hash, mix, pack, prefix_sums, range_hash, ranges, sliding_argmin, squeezed, unpack
 from .substring_dedup import apply_removals, removal_rows, sketch
 
 SAMPLE_DOCS = 512  # documents in which common grams are looked for
 COMMON = 0.01  # share of these from which on a gram counts as common
-HELD = 24 << 20  # bytes of segments that a task holds before it sends them
+HELD = 12 << 20  # bytes of segments that a task holds before it sends them
 BUCKET_BYTES = 1 << 20
 HIGH = np.uint64(1 << 63)
 COMMON_BITS = 20
@@ -260,7 +260,7 @@ def removals(docs: DataFrame, least: int) -> DataFrame:
                 keys.append(bucket)
                 tags.append(0)
                 docs_.append(0)
-                blobs.append(pack(anchor[at], content[at], doc[at], start[at].astype(np.int32), lengths[at].astype(np.int32), data[ranges(offset[at], lengths[at])]))
+                blobs.append(squeezed(pack(anchor[at], content[at], doc[at], start[at].astype(np.int32), lengths[at].astype(np.int32), data[ranges(offset[at], lengths[at])])))
             for lo in range(0, len(keys), 4096):
                 hi = lo + 4096
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], pa.int32()), pa.array(tags[lo:hi], pa.int32()), pa.array(docs_[lo:hi], pa.int64()), pa.array(blobs[lo:hi], pa.binary())], names=["bucket", "tag", "doc_id", "payload"])
@@ -285,7 +285,7 @@ def removals(docs: DataFrame, least: int) -> DataFrame:
         tags = table["tag"].to_numpy()
         out_doc = [int(d) for d, t in zip(table["doc_id"].to_numpy(), tags, strict=True) if t]
         out_runs = [b.as_py() for b, t in zip(table["payload"], tags, strict=True) if t]
-        parts = [unpack(b.as_buffer(), np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8) for b, t in zip(table["payload"], tags, strict=True) if not t]
+        parts = [unpack(expanded(b.as_buffer()), np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8) for b, t in zip(table["payload"], tags, strict=True) if not t]
         if parts:
             anchor, content, doc, start, lengths, data = (np.concatenate([p[k] for p in parts]) for k in range(6))
             found = resolve(anchor, content, doc, start.astype(np.int64), lengths.astype(np.int64), data, least)
