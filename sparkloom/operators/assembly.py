@@ -84,7 +84,7 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
 def macro_wires(nodes: DataFrame) -> DataFrame:
     """(key, prefix, suffix, offset, visits) of every node."""
 
-    def wire(key, df: pd.DataFrame) -> pd.DataFrame:
+    def wire(key, df):
         before, after = with_ends(_rows(df))
         return pd.DataFrame([(key[0], before[i][0], after[j][0], o, v) for i, j, o, v in wires(before, after)], columns=["key", "prefix", "suffix", "offset", "visits"])
 
@@ -178,19 +178,32 @@ def contigs(nodes: DataFrame, checkpoint, threshold: int = 1, longer_than: int =
     threshold = max(1, threshold)
     columns = [f.split()[0] for f in STEP.split(", ")]
 
-    def step(key, df: pd.DataFrame) -> pd.DataFrame:
-        own, new = df[df["kind"] == "n"], df[df["kind"] == "m"]
-        changes = [(bool(a), b, c, bool(d), int(e), int(f)) for a, b, c, d, e, f in zip(new["is_prefix"], new["old"], new["affix"], new["terminal"], new["n"], new["visits"], strict=True)]
-        rows = _changed(_rows(own), changes)
-        out = _process(key[0], rows)
-        if out is None:
-            out = [("n", key[0], p, "", a, t, n, v) for p, a, t, n, v in rows]
-        return pd.DataFrame(out, columns=columns)
+    def settle(key: str, held: list[tuple]) -> list[tuple]:
+        rows = _changed([(p, a, t, n, v) for kind, _, p, _, a, t, n, v in held if kind == "n"], [(p, o, a, t, n, v) for kind, _, p, o, a, t, n, v in held if kind == "m"])
+        out = _process(key, rows)
+        return [("n", key, p, "", a, t, n, v) for p, a, t, n, v in rows] if out is None else out
+
+    def step(batches):
+        """Rows come sorted by key; a node is settled when the next one begins, so thousands share a data frame."""
+        key, held, out = None, [], []
+        for df in batches:
+            for row in df[columns].itertuples(index=False, name=None):
+                if row[1] != key:
+                    if held:
+                        out += settle(key, held)
+                    key, held = row[1], []
+                held.append(row)
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if held:
+            out += settle(key, held)
+        yield pd.DataFrame(out, columns=columns)
 
     for _ in range(rounds):
         if state.select("key").distinct().limit(threshold).count() < threshold:
             break
-        after = checkpoint(state.groupBy("key").applyInPandas(step, STEP))
+        after = checkpoint(state.repartition("key").sortWithinPartitions("key").mapInPandas(step, STEP))
         found = after.where("kind = 'c'").select(F.col("affix").alias("contig"))
         done = found if done is None else done.union(found)
         state = after.where("kind <> 'c'")
@@ -198,7 +211,7 @@ def contigs(nodes: DataFrame, checkpoint, threshold: int = 1, longer_than: int =
     done = empty if done is None else done
     if threshold > 1:
 
-        def walk(df: pd.DataFrame) -> pd.DataFrame:
+        def walk(df):
             held = {}
             for key, part in df.groupby("key"):
                 new = part[part["kind"] == "m"]

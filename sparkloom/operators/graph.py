@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import checkpointed
 from ..schema import EDGE_TYPES, VERTEX_TYPES
 
 BUCKETS = 1024
@@ -76,15 +77,17 @@ def draws(column: Column, seed: int, *more: Column) -> Column:
 def ego_sampled(edges: DataFrame, roots: DataFrame, fanouts: tuple[int, ...] = (3, 2, 1), seed: int = 1) -> DataFrame:
     """(root, src, dst): neighbourhoods with fan-out sampled with replacement; self-loops, and edges both ways once."""
     ranked = edges.select("src", "dst").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+    ranked = checkpointed(ranked)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     front = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
     nodes, picked = front, None
     for hop, fan in enumerate(fanouts):
         asked = front.join(degree, front["node"] == degree["src"]).select("root", "node", "d", F.explode(F.sequence(F.lit(1), F.lit(fan))).alias("i"))
         asked = asked.withColumn("k", F.floor(draws(F.col("root"), seed, F.col("node"), F.col("i"), F.lit(hop)) * F.col("d")).cast("int"))
-        got = asked.join(ranked, (asked["node"] == ranked["src"]) & (asked["k"] == ranked["k"])).select("root", "src", "dst").distinct()
+        got = asked.select("root", F.col("node").alias("src"), "k").join(ranked, ["src", "k"]).select("root", "src", "dst").distinct()
+        got = checkpointed(got)  # each hop is read several times
         picked = got if picked is None else picked.union(got)
-        front = got.select("root", F.col("dst").alias("node")).distinct().join(nodes, ["root", "node"], "left_anti")
+        front = checkpointed(got.select("root", F.col("dst").alias("node")).distinct().join(nodes, ["root", "node"], "left_anti"))
         nodes = nodes.union(front)
     loops = nodes.select("root", F.col("node").alias("src"), F.col("node").alias("dst"))
     return picked.union(picked.select("root", "dst", "src")).union(loops).distinct()
@@ -97,7 +100,7 @@ def ego_induced(edges: DataFrame, roots: DataFrame, levels: tuple[int, ...] = (4
     nodes = front = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
     for most in levels:
         got = front.join(ranked.where(F.col("k") <= most), front["node"] == ranked["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = got.join(nodes, ["root", "node"], "left_anti")
+        front = checkpointed(got.join(nodes, ["root", "node"], "left_anti"))
         nodes = nodes.union(front)
     left, right = nodes.withColumnRenamed("node", "src"), nodes.withColumnRenamed("node", "dst")
     return left.join(distinct, "src").join(right, ["root", "dst"]).select("root", "src", "dst")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.session import shared_folder
@@ -73,7 +74,7 @@ def kept_latest(stream: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/{batch:09d}")
 
     drained(stream, each, "update")
-    rows = spark.read.schema(stream.schema.add("batch", "int")).option("recursiveFileLookup", True).parquet(folder)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("recursiveFileLookup", True).parquet(folder)
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
     return rows.withColumn("__n", newest).where("__n = 1").drop("__n", "batch")
 
