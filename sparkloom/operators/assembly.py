@@ -211,15 +211,16 @@ def contigs(nodes: DataFrame, checkpoint, threshold: int = 1, longer_than: int =
     done = empty if done is None else done
     if threshold > 1:
 
-        def walk(df):
-            held = {}
+        def walk(batches):
+            df, held = pd.concat(list(batches)), {}
             for key, part in df.groupby("key"):
                 new = part[part["kind"] == "m"]
                 changes = [(bool(a), b, c, bool(d), int(e), int(f)) for a, b, c, d, e, f in zip(new["is_prefix"], new["old"], new["affix"], new["terminal"], new["n"], new["visits"], strict=True)]
                 held[key] = _changed(_rows(part[part["kind"] == "n"]), changes)
-            return pd.DataFrame({"contig": _walk(held)})
+            yield pd.DataFrame({"contig": _walk(held)})
 
-        done = done.union(state.groupBy(F.lit(0)).applyInPandas(walk, "contig string"))
+        # fewer nodes than the threshold are left, so one task holds them
+        done = done.union(state.repartition(1).mapInPandas(walk, "contig string"))
     return done.where(F.length("contig") > longer_than)
 
 
