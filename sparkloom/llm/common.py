@@ -196,23 +196,25 @@ def bucket_count(size: int, target: int = 4 << 20) -> int:
     return max(16, -(-size // target))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster names; only a session that names none gets a temporary one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
-    return df.checkpoint()
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """Like checkpointed, but as Parquet, so that readers need only the columns that they ask for."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the folder that the cluster names; only a session that names none gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-table-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder: computed once, compressed, and read again if an executor is lost."""
+    path = path or shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,18 +224,28 @@ def components(edges: DataFrame) -> DataFrame:
     an aggregation with map-side combination and a join that adaptive execution can split, so a hub is no hot spot.
     No edges give no rows; loops, repeated edges and edges with a null end count as nothing.
     """
+    spark = edges.sparkSession
+    old: list[str] = []
+    held: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(shared_path(spark))
+        return checkpointed(df, held[-1])
+
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = checkpointed(edges)
+    edges = kept(edges)
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpointed(large)
+        large = kept(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = checkpointed(small)
+        edges = kept(small)
+        drop_tables(spark, old)
+        old, held = held[:-1], held[-1:]
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

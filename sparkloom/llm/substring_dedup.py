@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, by_bucket, chunks, corpus_size, gram_hash, merged_ranges, mix, pack, prefix_sums, range_hash, sliding_argmin, unpack
 
-MOST_BITS = 27  # most cells in a row of the sketch, as a power of two: 2 * 16 MB as bits
+MOST_BITS = 28  # most cells in a row of the sketch, as a power of two: 2 * 32 MB as bits
 ROWS = 2
 SLICES = 64
 SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
