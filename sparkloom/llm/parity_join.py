@@ -5,9 +5,11 @@ as a whole. Two documents link when 100 * intersection >= percent * union.
 
 Documents with equal sets are one class from the start. For each size band, sketches of 64-bit blocks are made: a
 shingle's hash picks a block and a bit in it, and toggles that bit. Sketches of two sets differ in at most as many bits
-as the sets' symmetric difference has members, which a link bounds; with more blocks than that, linked sets agree in some
-block as a whole, and by a margin of blocks in one that isn't zero (sets with so many zero blocks that this fails send
-those as well). So classes that share a block form clusters that hold every link. Clusters are dealt in tiles of bounded
+as the sets' symmetric difference has members, which a link bounds by d; with k > d blocks, linked sets agree in at least
+k - d blocks as a whole. Blocks without members are left out by sets that have few of them. Classes that meet in blocks
+are counted against what is then left of k - d, pair by pair in groups of up to GROUP classes; larger groups, as many near
+copies give them, are tied to their smallest class without counting, so no group gives more than GROUP pairs a class.
+What is left forms clusters that hold every link. Clusters are dealt in tiles of bounded
 size, pairs of tiles for large ones; there the sketches' Hamming distance rules pairs out and exact intersections decide
 the rest. A tile sends a spanning forest of its links, never all pairs, and components put the forests together.
 
@@ -27,6 +29,7 @@ from .common import bucket_count, by_bucket, checkpointed, chunks, components, c
 
 TILE = 1 << 19  # shingles in a tile
 HELD = 1 << 22
+GROUP = 256  # classes that share a block, up to which their pairs are counted
 ONE = np.uint64(1)
 
 
@@ -51,7 +54,7 @@ class Bands:
     def blocks(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks of the sketch for a band and its upper neighbour, and the difference that it allows."""
         d = self.apart(self.edges[band + 1] - 1 + self.edges[band + 2] - 1)
-        return d + 1 + np.maximum(1, (d + 1) // 16), d
+        return d + 1 + np.maximum(1, (d + 1) // 8), d
 
 
 def shingle_sets(chunk, size: int):
@@ -84,14 +87,14 @@ def set_keys(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.
 
 
 def parity(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, blocks: np.ndarray):
-    """Sketches as their blocks with members: (set, block, value) arrays; blocks left out are zero."""
+    """Sketches as their blocks with members: (set, block, value, members) arrays; blocks left out are zero."""
     who = np.repeat(np.arange(len(counts)), counts)
     block = ((h[ranges(starts, counts)] >> np.uint64(32)) * blocks.astype(np.uint64)[who] >> np.uint64(32)).astype(np.int64)
     bit = ONE << (h[ranges(starts, counts)] & np.uint64(63))
     # sets are sorted by hash and the block grows with the hash, so a block's members lie together
     firsts = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (block[1:] != block[:-1]))) if len(who) else who
     value = np.bitwise_xor.reduceat(bit, firsts) if len(firsts) else bit
-    return who[firsts], block[firsts], value
+    return who[firsts], block[firsts], value, np.diff(np.append(firsts, len(who)))
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
@@ -107,21 +110,23 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataFrame:
-    """(a, b): classes that share a block of a sketch, each with the smallest class of that block."""
+    """(a, b): classes that share as many blocks as a link asks for, and those of large groups with their smallest."""
     buckets = bucket_count(total // 2, 6 << 20)
 
     def send(batches):
         held, seen = [], set()
 
         def rows():
-            key, cls = (np.concatenate([x[k] for x in held]) for k in range(2))
-            out = [(b, pack(*packed(key[at], cls[at]))) for b, at in by_bucket((key >> np.uint64(32)).astype(np.int64) % buckets)]
+            key, cls, config, half = (np.concatenate([x[k] for x in held]) for k in range(4))
+            out = []
+            for bucket, at in by_bucket((key >> np.uint64(32)).astype(np.int64) % buckets):
+                # what belongs to a set and a band is sent once for all of its blocks in the bucket
+                ids = cls[at] ^ (config[at].astype(np.int64) * 0x5851F42D4C957F2D)
+                _, first, ref = np.unique(ids, return_index=True, return_inverse=True)
+                first = at[first]
+                out.append((bucket, pack(key[at].astype(np.uint32), ref.astype(np.uint32), cls[first], config[first], half[first])))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "payload"])
 
-        def packed(key, cls):
-            table, at = np.unique(cls, return_inverse=True)
-            return key.astype(np.uint32), table, at.astype(np.uint32)
-
         count = 0
         for chunk in chunks(batches):
             h, starts, counts = shingle_sets(chunk, size)
@@ -139,20 +144,17 @@ def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataF
                 if not len(use):
                     continue
                 k, d = bands.blocks(band)
-                who, block, value = parity(h, starts[use], counts[use], k)
-                live = np.flatnonzero(value)
-                zeros = k - np.bincount(who[live], minlength=len(use))
-                many = np.flatnonzero(zeros >= k - d)
-                who, block, value = who[live], block[live], value[live]
-                if len(many):  # these send their zero blocks too
-                    every = ranges(np.zeros(len(many), np.int64), k[many])
-                    owner = np.repeat(many, k[many])
-                    there = set(zip(who.tolist(), block.tolist(), strict=True)) if len(many) < len(use) // 4 else None
-                    codes = owner * (1 << 40) + every
-                    free = ~np.isin(codes, who * (1 << 40) + block) if there is None else np.array([(o, e) not in there for o, e in zip(owner.tolist(), every.tolist(), strict=True)], bool)
-                    who, block, value = np.concatenate([who, owner[free]]), np.concatenate([block, every[free]]), np.concatenate([value, np.zeros(free.sum(), np.uint64)])
+                who, block, value, _ = parity(h, starts[use], counts[use], k)
+                empty = k - np.bincount(who, minlength=len(use))
+                skips = empty <= (k - d - 1) // 2
+                sends = np.flatnonzero(~skips)
+                every, owner = ranges(np.zeros(len(sends), np.int64), k[sends]), np.repeat(sends, k[sends])
+                free = ~np.isin(owner * (1 << 40) + every, who * (1 << 40) + block)
+                who, block = np.concatenate([who, owner[free]]), np.concatenate([block, every[free]])
+                value = np.concatenate([value, np.zeros(int(free.sum()), np.uint64)])
                 key = mix(value ^ mix((band[who].astype(np.uint64) << np.uint64(40)) + block.astype(np.uint64)))
-                held.append((key, cls[use][who]))
+                half = ((k - d) / 2 - np.where(skips, empty, 0)).astype(np.float32)
+                held.append((key, cls[use][who], band[who].astype(np.uint16), half[who]))
                 count += len(key)
             if count >= HELD:
                 yield from rows()
@@ -161,22 +163,49 @@ def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataF
             yield from rows()
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_buffer(), np.uint32, np.int64, np.uint32) for b in table["payload"]]
-        key, cls = np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts])
+        parts = [unpack(b.as_buffer(), np.uint32, np.uint32, np.int64, np.uint16, np.float32) for b in table["payload"]]
+        key = np.concatenate([p[0] for p in parts])
+        cls, config, half = (np.concatenate([p[k][p[1]] for p in parts]) for k in (2, 3, 4))
         order = np.argsort(key, kind="stable")
-        key, cls = key[order], cls[order]
-        same = key[1:] == key[:-1]
-        pick = np.append(same, False) | np.append(False, same)
-        key, cls = key[pick], cls[pick]
-        if not len(key):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        least = np.repeat(np.minimum.reduceat(cls, firsts), np.diff(np.append(firsts, len(key))))
-        pairs = np.stack([least, cls], axis=1)[least != cls]
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return docs.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)]
+        order = order[np.lexsort((cls[order], key[order]))]
+        key, cls, config, half = key[order], cls[order], config[order], half[order]
+        keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])) if len(key) else np.zeros(0, bool)
+        key, cls, config, half = key[keep], cls[keep], config[keep], half[keep]
+        found = []
+        if len(key):
+            firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(firsts, len(key)))
+            large = np.repeat(sizes > GROUP, sizes)
+            least = np.repeat(cls[firsts], sizes)  # a group is sorted by class
+            far = large & (least != cls)
+            found.append((least[far], cls[far], config[far], np.zeros(int(far.sum()), np.float32)))
+            key, cls, config, half = key[~large], cls[~large], config[~large], half[~large]
+            for step in range(1, GROUP):
+                at = np.flatnonzero(key[step:] == key[:-step])
+                if not len(at):
+                    break
+                at = at[config[at] == config[at + step]]
+                found.append((cls[at], cls[at + step], config[at], half[at] + half[at + step]))
+        if not found:
+            return pa.table({"bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        a, b, c, need = (np.concatenate([f[k] for f in found]) for k in range(4))
+        to = (mix(a.astype(np.uint64) ^ mix(b.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        out = [(x, pack(a[at], b[at], need[at], c[at])) for x, at in by_bucket(to)]
+        return pa.table({"bucket": pa.array([x for x, _ in out], pa.int32()), "payload": pa.array([y for _, y in out], pa.binary())})
+
+    def enough(table: pa.Table) -> pa.Table:
+        parts = [unpack(b.as_buffer(), np.int64, np.int64, np.float32, np.uint16) for b in table["payload"]]
+        a, b, need, c = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        order = np.lexsort((c, b, a))
+        a, b, need, c = a[order], b[order], need[order], c[order]
+        firsts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
+        ok = firsts[np.diff(np.append(firsts, len(a))) >= np.minimum.reduceat(need, firsts)]
+        return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+
+    met = docs.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "bucket int, payload binary")
+    return met.groupBy("bucket").applyInArrow(enough, "a long, b long").distinct()
 
 
 def forest(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
@@ -186,7 +215,7 @@ def forest(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], tile: np.
     k = int(bands.apart(2 * most)) + 1
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(sets)
-    who, block, value = parity(flat, starts, sizes, np.full(n, k))
+    who, block, value, _ = parity(flat, starts, sizes, np.full(n, k))
     sketch = np.zeros((n, k), np.uint64)
     sketch[who, block] = value
     parent = np.arange(n)
