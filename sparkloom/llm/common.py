@@ -228,28 +228,30 @@ def components(edges: DataFrame) -> DataFrame:
     old: list[str] = []
     held: list[str] = []
 
-    def kept(df: DataFrame) -> DataFrame:
+    def kept(df: DataFrame, rows: int | None) -> DataFrame:
         held.append(shared_path(spark))
-        return checkpointed(df, held[-1])
+        # a step keeps about as many edges as the one before it; few edges need no more than a few tasks
+        return checkpointed(df if rows is None else df.coalesce(max(6, rows // 250_000)), held[-1])
 
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = kept(edges)
+    edges = kept(edges, None)
     before = None
+    rows = edges.count()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = kept(large)
+        large = kept(large, rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = kept(small)
+        edges = kept(small, rows)
         drop_tables(spark, old)
         old, held = held[:-1], held[-1:]
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
