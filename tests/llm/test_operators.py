@@ -298,3 +298,14 @@ def test_units_are_a_distribution():
         stream = np.array([*prefix, u], np.int64)
         total += 10 ** float(lm_score.unit_logs(model, stream, np.array([len(stream)]))[-1])
     assert total == pytest.approx(1.0, abs=1e-3)
+
+
+def test_inner_units_are_a_distribution():
+    model = lm_score.fit({bytes([b]): b for b in range(256)}, [b" ".join(bytes([x, y]) for x in range(97, 123) for y in range(97, 123) if (7 * x + y) % 5 == 0)], steps=5)
+    units = np.arange(len(model.cls))
+    for before in (model.units_of(b"ab")[1], model.units_of(b"q?")[0]):
+        plain = 10 ** model.inside.astype(float)
+        inner = plain * 10 ** model.inner_logs(np.full(len(units), before), units)
+        assert np.bincount(model.cls, inner) == pytest.approx(np.bincount(model.cls, plain), abs=1e-3)
+    gains = [model.inner_logs(u[1:2], u[2:3])[0] for u in (model.units_of(bytes([x, y])) for x in range(97, 123) for y in range(97, 123) if (7 * x + y) % 5 == 0)]
+    assert min(gains) > -1e-6 and max(gains) > 0.1
