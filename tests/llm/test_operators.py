@@ -292,7 +292,7 @@ def test_lm_scores(docs, empty):
 
 def test_units_are_a_distribution():
     model = lm_score.fit({bytes([b]): b for b in range(256)}, [b"a b a", b"b a"], steps=5)
-    prefix = model.units_of(b"a")
+    prefix = model.units_of([b"a"])[0]
     total = 0.0
     for u in range(len(model.cls)):
         stream = np.array([*prefix, u], np.int64)
@@ -303,9 +303,19 @@ def test_units_are_a_distribution():
 def test_inner_units_are_a_distribution():
     model = lm_score.fit({bytes([b]): b for b in range(256)}, [b" ".join(bytes([x, y]) for x in range(97, 123) for y in range(97, 123) if (7 * x + y) % 5 == 0)], steps=5)
     units = np.arange(len(model.cls))
-    for before in (model.units_of(b"ab")[1], model.units_of(b"q?")[0]):
+    for before in (model.units_of([b"ab"])[0][1], model.units_of([b"q?"])[0][0]):
         plain = 10 ** model.inside.astype(float)
         inner = plain * 10 ** model.inner_logs(np.full(len(units), before), units)
         assert np.bincount(model.cls, inner) == pytest.approx(np.bincount(model.cls, plain), abs=1e-3)
-    gains = [model.inner_logs(u[1:2], u[2:3])[0] for u in (model.units_of(bytes([x, y])) for x in range(97, 123) for y in range(97, 123) if (7 * x + y) % 5 == 0)]
+    gains = [model.inner_logs(u[1:2], u[2:3])[0] for u in (model.units_of([bytes([x, y])])[0] for x in range(97, 123) for y in range(97, 123) if (7 * x + y) % 5 == 0)]
     assert min(gains) > -1e-6 and max(gains) > 0.1
+
+
+def test_units_of_many_words_are_those_of_each():
+    ranks = {bytes([b]): b for b in range(256)} | {b" a": 256, b"ab": 257, b" ab": 258, "é".encode(): 259}
+    model = lm_score.fit(ranks, [b"ab a b", b"b a"], steps=2)
+    words = [b"a", b"abab", "é é".encode(), b"\x1cab", b"b", b"\xff"]
+    for word, units in zip(words, model.units_of(words), strict=True):
+        assert units.tolist() == model.units_of([word])[0].tolist()
+        assert (units % 2).tolist() == [0] * (len(units) - 1) + [1]
+    assert model.units_of([]) == []
