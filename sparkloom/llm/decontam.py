@@ -2,7 +2,8 @@
 
 Words are `[^\\x20\\x09-\\x0D]+`, lower-cased over A-Z. For each benchmark item of `size` words or more, windows of as many words
 are taken from the documents, wherever one of the item's `size`-word shingles occurs: the window in which the shingle
-stands where it stands in the item. A window without any such shingle has similarity 0 with every item.
+stands where it stands in the item. A window that would begin before the text or end after it is moved to the text's edge,
+and a text shorter than the item is one window as a whole. A window without any such shingle has similarity 0 with every item.
 
 Windows and items get 64-bit SimHash fingerprints over their weighted shingles. A multi-index finds every item whose
 fingerprint is within `radius` bits: fingerprints are cut in four blocks of 16 bits, one of which differs in at most
@@ -62,7 +63,9 @@ def found(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0
     wanted = grams.where(f"len >= {size}").select("h", "len", "p").distinct()
     text = docs.where("doc_id is not null").select("doc_id", F.transform(words(), lambda x: F.xxhash64(x)).alias("w"))
     runs = text.select("doc_id", F.expr("size(w)").alias("nw"), F.posexplode(F.expr(shingles("w", size))).alias("i", "h"))
-    hits = runs.join(wanted, "h").where("i >= p AND i - p + len <= nw").select("doc_id", "len", (F.col("i") - F.col("p")).alias("start")).distinct()
+    # a text shorter than the item is at most as similar as their numbers of shingles are
+    hits = runs.join(wanted, "h").where(f"nw >= len OR CAST(nw - {size - 1} AS double) / (len - {size - 1}) >= {least}D")
+    hits = hits.select("doc_id", "len", F.expr("greatest(0, least(i - p, nw - len))").alias("start")).distinct()
     # the windows' shingles: only documents with hits are cut again
     cut = hits.groupBy("doc_id").agg(F.collect_set(F.struct("len", "start")).alias("ws"))
     windows = text.join(cut, "doc_id").select("doc_id", F.expr(shingles("w", size)).alias("hs"), F.explode("ws").alias("x"))

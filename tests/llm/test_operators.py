@@ -157,6 +157,24 @@ def test_decontamination(spark, docs, empty):
     assert decontam.found(empty, bench).count() == 0
 
 
+def test_decontamination_at_the_edges(spark):
+    item = [f"i{k}" for k in range(40)]
+    other = [f"o{k}" for k in range(30)]
+    rows = {
+        1: other + item[:-1], 2: other + item[:-3], 3: item[1:] + other, 4: item[3:] + other, 5: item[:-1], 6: item[2:-2],
+        7: item[:20] + item[21:], 8: other + item[:20] + item[21:], 9: item[:32], 10: other + item[:20] + other, 11: item[:-1] + other, 12: item[:20], 13: item[:33],
+    }
+    want = {}
+    shingle = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    for i, d in rows.items():
+        sims = [sum((shingle(item) & (c := shingle(d[s : s + 40]))).values()) / sum((shingle(item) | c).values()) for s in range(max(1, len(d) - 39))]
+        if max(sims) >= 0.8:
+            want[i] = (sims.index(max(sims)), pytest.approx(max(sims)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["similarity"]) for r in decontam.found(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == want and {1, 3, 5} <= set(want) and not {10, 12} & set(want)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, repeats=2.0).select("doc_id", "source", "tokens", "copies").collect()
     total, seen = Counter(), Counter()
