@@ -160,7 +160,9 @@ def removals(docs: DataFrame, size: int) -> DataFrame:
             order = np.lexsort((place, doc, h2, h1))
             a, b = h1[order], h2[order]
             first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            gone = order[~first]
+            # the same place of one document, should a partition hold its row twice, isn't earlier than itself
+            lead = order[first][np.cumsum(first) - 1]
+            gone = order[(doc[order] != doc[lead]) | (place[order] != place[lead])]
             keys, tags, docs_, blobs = [], [], [], []
             for who, runs in removal_rows(doc[gone], place[gone], place[gone] + size):
                 keys.append(int(mix(np.array([who]).astype(np.uint64))[0] % np.uint64(buckets)))

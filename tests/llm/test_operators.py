@@ -68,6 +68,14 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def test_substring_dedup_of_repeated_rows(docs):
+    want = {tuple(r) for r in substring_dedup.dedup(docs).collect()}
+    twice = docs.union(docs)
+    for parts in (twice.coalesce(1), twice.repartition(3)):
+        got = [tuple(r) for r in substring_dedup.dedup(parts).collect()]
+        assert set(got) == want and len(got) == 2 * docs.count()
+
+
 def test_suffix_dedup(spark, docs, tmp_path):
     first, want = {}, {}
     for i, t in texts():
