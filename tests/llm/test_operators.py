@@ -316,6 +316,35 @@ def test_lm_scores(docs, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_counts_are_those_of_all_training_documents(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 8)
+    monkeypatch.setattr(lm_score, "CHECK_DOCS", 2)
+    fit, made = lm_score.fit, []
+    monkeypatch.setattr(lm_score, "fit", lambda *a, **b: made.append(fit(*a, **b, steps=5)) or made[-1])
+    assert lm_score.score(docs).count() == len(texts())
+    model = made[0]
+    model.ready()
+    n = len(model.cls)
+    units, heads, pairs = Counter(), Counter(), Counter()
+    for i, t in texts():
+        if zlib.crc32(str(i).encode()) % 10:
+            for u in model.units_of([w.encode() for w in low_words(t)]):
+                units.update(u.tolist())
+                heads[u[0]] += 1
+                pairs.update(zip(u[:-1].tolist(), u[1:].tolist(), strict=True))
+            units[n - 1] += 1
+    c = np.array([units[k] + 0.05 for k in range(n)])
+    assert model.inside == pytest.approx(np.log10(c / np.bincount(model.cls, c)[model.cls]), abs=1e-4)
+    assert model.totals == pytest.approx(np.bincount(model.cls, [heads[k] for k in range(n)], lm_score.CLASSES))
+    of_class = Counter()
+    for (a, b), k in pairs.items():
+        of_class[a, model.cls[b]] += k
+    for (a, b), k in pairs.items():
+        want = (k / 10.0 ** model.inside[b] + lm_score.PRIOR) / (of_class[a, model.cls[b]] + lm_score.PRIOR)
+        assert model.inner_logs(np.array([a]), np.array([b]))[0] == pytest.approx(math.log10(want), abs=1e-4)
+    assert len(model.pairs[0]) == len(pairs) > 0
+
+
 def test_units_are_a_distribution():
     model = lm_score.fit({bytes([b]): b for b in range(256)}, [b"a b a", b"b a"], steps=5)
     prefix = model.units_of([b"a"])[0]
