@@ -243,8 +243,8 @@ def forest(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], tile: np.
     return out
 
 
-def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs with a doc_id."""
+def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, n_shingles, c1, c2); and (c1, component, rep, first): first is the component's least class of those under its least doc_id."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     _, total = corpus_size(docs)
     known = checkpointed(classes(docs, size))
@@ -296,18 +296,44 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     links = joined.select("c1", "root", "tile", "part", "low", "high", "text").groupBy("part", "low", "high").applyInArrow(verify, "a long, b long")
     found = components(links)
     least = unique.join(found.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
-    smallest = least.groupBy("root").agg(F.min("rep").alias("component"))
-    named = checkpointed(least.join(smallest, "root").select("c1", "component"))
-    out = known.join(named, "c1", "left")
+    smallest = least.groupBy("root").agg(F.min(F.struct("rep", "c1")).alias("m"))
+    named = least.join(smallest, "root").select("c1", F.col("m.rep").alias("component"), "rep", (F.col("c1") == F.col("m.c1")).alias("first"))
+    return known, checkpointed(named)
+
+
+def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs with a doc_id."""
+    known, named = linked(docs, size, percent)
+    out = known.join(named.select("c1", "component"), "c1", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def with_class(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of docs that have a doc_id, with the hash of their set as __class."""
+    docs = docs.where("doc_id is not null").select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+
+    def run(batches):
+        for batch in batches:
+            found = [set_keys(*shingle_sets(chunk, size))[0] for chunk in chunks([batch])]
+            one = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one)], names=[*batch.schema.names, "__class"])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__class long"]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: components of documents by 4-word shingles with a similarity of 0.85 or more."""
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (five words, 0.8 or more); one row of it."""
-    found = link(docs, 5, 80).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__kept"], "left_semi").select(*docs.columns)
+    """The document with the smallest doc_id of each group of near copies (five words, 0.8 or more); one row of it.
+
+    A row is known by doc_id and the hash of its set, so another text under the same doc_id is judged by its own group.
+    Texts without words are no copies of other documents. Rows with a null doc_id stay.
+    """
+    known, named = linked(docs, 5, 80)
+    found = named.where("first").select(F.col("rep").alias("doc_id"), F.col("c1").alias("__class"))
+    found = found.union(known.where("n_shingles = 0").select("doc_id", "c1").distinct())
+    kept = with_class(docs, 5).join(found, ["doc_id", "__class"], "left_semi").dropDuplicates(["doc_id", "__class"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))

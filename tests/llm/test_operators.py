@@ -129,6 +129,28 @@ def test_ngram_join(docs, empty, size, percent):
         assert parity_join.link(empty).count() == 0
 
 
+def test_join_stage_of_repeated_and_null_doc_ids(spark):
+    text = lambda name, *changed: " ".join("new" if k in changed else f"{name}{k}" for k in range(60))
+    rows = [
+        (1, text("a")), (1, text("a")), (2, text("a", 5)), (2, text("b")), (3, text("b", 7)), (3, text("c")), (4, text("d")), (4, text("d", 9)),
+        (5, text("e")), (5, text("a")), (6, None), (6, ""), (7, None), (None, text("a")), (None, text("a")), (None, None),
+    ]
+    shingles = {t: {tuple((t or "").split()[k : k + 5]) for k in range(56)} if t else set() for _, t in rows}
+    groups = []
+    for i, t in sorted({r for r in rows if r[0] is not None and r[1]}):
+        near = [g for g in groups if any(100 * len(shingles[t] & shingles[u]) >= 80 * len(shingles[t] | shingles[u]) for _, u in g)]
+        groups = [g for g in groups if g not in near] + [[(i, t), *(x for g in near for x in g)]]
+    least = [{(i, t) for i, t in g if i == min(g)[0]} for g in groups]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, source string").repartition(3)
+    got = parity_join.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    words = [r for r in got if r[0] is not None and r[1]]
+    assert len(words) == len(least) and all(len(g & set(words)) == 1 for g in least)
+    assert [r[0] for r in got if not r[1]].count(6) == [r[0] for r in got if not r[1]].count(7) == 1
+    assert sorted(map(str, (t for i, t in got if i is None))) == sorted(map(str, (t for i, t in rows if i is None)))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 51), (50, 51)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {**dict.fromkeys(range(1, 41), 1), 50: 50, 51: 50}
