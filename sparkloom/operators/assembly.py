@@ -6,18 +6,67 @@ and a number of visits; an affix that ends there is terminal. Wires pair the vis
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import kmers, visits
+from ..functions.scalar import code_order, kmers, visits
 
 ROW = "key string, is_prefix boolean, affix string, terminal boolean, n long, visits long"
 CODE = str.maketrans("ACTG", "0123")
+PACKED_BYTES = 4 << 20  # reads that are counted together before the shuffle; a longer read is counted as a whole
+BASES = np.full(256, 4, np.uint8)
+BASES[np.frombuffer(b"ACTG", np.uint8)] = range(4)
+
+
+def packed_kmers(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-mers of texts with two bits a base, and their counts; the work grows with the length, not its square."""
+    base = BASES[np.frombuffer(b"\n".join(texts), np.uint8)]
+    known = base < 4
+    code, width = np.where(known, base, 0).astype(np.uint64), 1
+    whole, have = None, 0
+    while width <= k:  # codes of 1, 2, 4, ... bases; those that add up to k are put one after the other
+        if k & width:
+            rest = code[have:]
+            whole = rest if whole is None else (whole[: len(rest)] << np.uint64(2 * width)) | rest[: len(whole)]
+            have += width
+        if width * 2 <= k:
+            code = (code[:-width] << np.uint64(2 * width)) | code[width:] if len(code) > width else code[:0]
+        width *= 2
+    n = max(0, len(base) - k + 1)
+    bad = np.concatenate(([0], np.cumsum(~known)))
+    return np.unique(whole[:n][bad[k : k + n] == bad[:n]], return_counts=True)
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    return reads.select(F.explode(kmers(F.col("read"), k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    """(kmer, n): occurrences of each k-mer of A, C, T and G; one with another letter is left out, and a null read is empty.
+
+    Up to 32 bases are packed in one number and counted batch by batch before the one shuffle, by number.
+    """
+    if k > 32:
+        return reads.select(F.explode(kmers(F.col("read"), k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            texts, size = [], 0
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                texts.append(text or b"")
+                size += len(texts[-1])
+                if size > PACKED_BYTES:
+                    yield packed(texts)
+                    texts, size = [], 0
+            if texts:
+                yield packed(texts)
+
+    def packed(texts):
+        code, n = packed_kmers(texts, k)
+        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    counted = reads.select("read").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    digits = F.lpad(F.conv(F.col("code").cast("string"), 10, 4), k, "0")
+    return counted.select(F.translate(digits, "0123", "ACTG").alias("kmer"), "n")
 
 
 def count_histogram(counts: DataFrame, most: int) -> DataFrame:
@@ -82,13 +131,24 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
 
 
 def macro_wires(nodes: DataFrame) -> DataFrame:
-    """(key, prefix, suffix, offset, visits) of every node."""
+    """(key, prefix, suffix, offset, visits) of every node.
 
-    def wire(key, df):
-        before, after = with_ends(_rows(df))
-        return pd.DataFrame([(key[0], before[i][0], after[j][0], o, v) for i, j, o, v in wires(before, after)], columns=["key", "prefix", "suffix", "offset", "visits"])
-
-    return nodes.groupBy("key").applyInPandas(wire, "key string, prefix string, suffix string, offset long, visits long")
+    Affixes are laid along their side in wiring order, by running sums within the node, and pairs that overlap are wired.
+    A node has few affixes, so its pairs are few; a node's ends come from the same shuffle as the sums.
+    """
+    sides = Window.partitionBy("key")
+    more = F.sum(F.when(F.col("is_prefix"), -F.col("visits")).otherwise(F.col("visits"))).over(sides)
+    first = F.row_number().over(sides.orderBy("is_prefix", "affix")) == 1
+    with_more = nodes.select("key", "is_prefix", "affix", "n", "visits", more.alias("more"), first.alias("first"))
+    own = F.struct("is_prefix", "affix", "n", "visits")
+    ends = [F.struct(F.lit(side).alias("is_prefix"), F.lit("").alias("affix"), F.lit(1).cast("long").alias("n"), F.greatest(sign * F.col("more"), F.lit(0)).cast("long").alias("visits")) for side, sign in ((True, 1), (False, -1))]
+    every = with_more.select("key", F.explode(F.when(F.col("first"), F.array(own, *ends)).otherwise(F.array(own))).alias("a")).select("key", "a.*")
+    order = Window.partitionBy("key", "is_prefix").orderBy(F.desc("visits"), F.desc("n"), F.desc(F.length("affix")), F.desc(code_order(F.col("affix")))).rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.select("key", "is_prefix", "affix", F.sum("visits").over(order).alias("high"), "visits").withColumn("low", F.col("high") - F.col("visits")).where("visits > 0")
+    held = placed.groupBy("key").agg(*[F.collect_list(F.when(F.col("is_prefix") == side, F.struct("affix", "low", "high"))).alias(name) for side, name in ((True, "p"), (False, "s"))])
+    pairs = held.select("key", F.explode("p").alias("p"), "s").select("key", "p", F.explode("s").alias("s"))
+    low, high = F.greatest("p.low", "s.low"), F.least("p.high", "s.high")
+    return pairs.where(high > low).select("key", F.col("p.affix").alias("prefix"), F.col("s.affix").alias("suffix"), (low - F.col("s.low")).alias("offset"), (high - low).alias("visits"))
 
 
 STEP = "kind string, key string, is_prefix boolean, old string, affix string, terminal boolean, n long, visits long"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import checkpointed
+from ..functions.session import checkpointed, spread
 from ..operators import approx, assembly, generate, graph, market, pattern, reasoning
 from ..sources import overlay, sinks
 from ..streaming import partial
@@ -42,7 +42,7 @@ TRIPLES_SQL = """tri AS (SELECT o_custkey AS src, 207 AS rel, CAST(ascii(o_order
 
 
 def _reads(spark, d) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("text"))
     letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
     return docs.select(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACTGACTGACTGACTGACTGACTGAC").alias("read"))
 
@@ -157,7 +157,7 @@ def _affiliation(spark, d) -> DataFrame:
 
 def _nodes(spark, d) -> DataFrame:
     counts = checkpointed(assembly.kmer_counts(_reads(spark, d), K))
-    return assembly.macro_nodes(counts, 40, 20.0)
+    return assembly.macro_nodes(counts, assembly.cutoff(counts, 21), 20.0)
 
 
 def _long_reads(spark, d) -> DataFrame:
@@ -289,7 +289,8 @@ def oracle_sql() -> dict[str, str]:
       u AS (SELECT DISTINCT dst AS place FROM tri WHERE rel = 40),
       c AS (SELECT b.id, u.place, {score('x.embedding', 'r5.embedding', 'y.embedding')} AS score FROM b JOIN e x ON x.id = b.id, u JOIN e y ON y.id = u.place, r5)"""
     km = f"WITH {KMERS_SQL}"
-    nodes = f"{km}, mn AS (SELECT substr(kmer, 1, {K - 1}) AS key, false AS is_prefix, substr(kmer, {K}, 1) AS affix, n, CAST(ceil(n / 20.0) AS BIGINT) AS visits FROM km WHERE n >= 40 UNION ALL SELECT substr(kmer, 2), true, substr(kmer, 1, 1), n, CAST(ceil(n / 20.0) AS BIGINT) FROM km WHERE n >= 40)"
+    least = "hh AS (SELECT i.i AS n, count(kmer) AS kmers FROM (SELECT unnest(range(1, 21)) AS i) i LEFT JOIN km ON km.n = i.i GROUP BY 1), cut AS (SELECT n AS cutoff FROM hh ORDER BY kmers, n LIMIT 1)"
+    nodes = f"{km}, {least}, mn AS (SELECT substr(kmer, 1, {K - 1}) AS key, false AS is_prefix, substr(kmer, {K}, 1) AS affix, n, CAST(ceil(n / 20.0) AS BIGINT) AS visits FROM km, cut WHERE n >= cutoff UNION ALL SELECT substr(kmer, 2), true, substr(kmer, 1, 1), n, CAST(ceil(n / 20.0) AS BIGINT) FROM km, cut WHERE n >= cutoff)"
     code = "translate(affix, 'ACTG', '0123')"
     wires = f"""{nodes}, tot AS (SELECT key, CAST(sum(CASE WHEN is_prefix THEN visits ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN is_prefix THEN 0 ELSE visits END) AS BIGINT) AS s FROM mn GROUP BY key),
       al AS (SELECT * FROM mn UNION ALL SELECT key, true, '', 1, greatest(s - p, 0) FROM tot UNION ALL SELECT key, false, '', 1, greatest(p - s, 0) FROM tot),
@@ -337,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "market_edges_complex": m + f" SELECT seller || ' ' || a.type || ' ' || buyer || ' ' || b.type || ' ' || printf('%.6f', round(weight, 6)) AS value FROM {weight} JOIN traders a ON a.id = seller JOIN traders b ON b.id = buyer",
         "kmer_counts": km + " SELECT kmer, n FROM km",
         "kmer_count_histogram": km + " SELECT i.i AS n, count(kmer) AS kmers FROM (SELECT unnest(range(1, 21)) AS i) i LEFT JOIN km ON km.n = i.i GROUP BY 1",
-        "kmer_cutoff": km + ", hh AS (SELECT i.i AS n, count(kmer) AS kmers FROM (SELECT unnest(range(1, 21)) AS i) i LEFT JOIN km ON km.n = i.i GROUP BY 1) SELECT n AS cutoff FROM hh ORDER BY kmers, n LIMIT 1",
+        "kmer_cutoff": f"{km}, {least} SELECT cutoff FROM cut",
         "macro_nodes": nodes + " SELECT * FROM mn",
         "macro_wires": wires,
         "systematic_sample": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n % 10 = 0",

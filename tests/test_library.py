@@ -12,6 +12,7 @@ from sparkloom.schema import Pattern
 from sparkloom.sources import files, sinks
 
 BUYER, DISTRIBUTOR, ENGINEER = 1128501731262832684, 1472154222902711100, 735713441679521195
+# fixed values: the planted pattern of the input format
 PLANTED = f"""#type,person1,person2,forum,forum_event,publication,topic,date,lat,lon
 Sale,1419850416906085161,{BUYER},,,,2869238,09/28/2018,,
 Sale,477384404927196020,{BUYER},,,,271997,09/30/2018,,
@@ -191,3 +192,12 @@ def test_entry_stands_without_text_operators():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert "exact_match" in __spark_entry__.queries()
+
+
+@pytest.mark.parametrize("k", [1, 5, 12, 31, 32, 33])
+def test_kmer_counts_of_long_and_odd_reads(spark, k):
+    rng = random.Random(k)
+    reads = ["".join(rng.choice("ACTGN" if rng.random() < 0.05 else "ACTG") for _ in range(n)) for n in (0, 3, 40, 90, 5000)] + [None, "A" * 300, "T" * 64]
+    want = Counter(r[i : i + k] for r in reads if r for i in range(len(r) - k + 1) if set(r[i : i + k]) <= set("ACTG"))
+    got = assembly.kmer_counts(spark.createDataFrame([(r,) for r in reads], "read string"), k)
+    assert {r["kmer"]: r["n"] for r in got.collect()} == want
