@@ -4,16 +4,16 @@ Words are `[^\\x20\\x09-\\x0D]+`. A window is `window` consecutive words of one
 sequence starts earlier (in a document with a smaller number, or earlier in the same one) is removed, judged on the input.
 
 First pass: every window is counted under its anchor, the sub-window of `window // 2` words with the least hash. Equal
-windows have equal anchors, so the count of an anchor is never below that of a window. Each partition sketches its
-anchors' counts (saturating at two, the only count that matters); the partial sketches are merged cell by cell, and the
-merged sketch, whose size is bounded by MOST_BITS, goes to the executors. Second pass: windows whose anchor is estimated
-to occur twice are grouped exactly, by a 96-bit hash, in buckets of their anchors. The sketch overestimates, so no
-repeated window is lost; where a corpus outgrows the bound, more windows pass and the result is the same.
-A partition sends only its first occurrence of a window, so a passage that a third of all documents share is a few rows.
+windows have equal anchors, so the count of an anchor is never below that of a window. Groups of documents sketch their
+anchors' counts (saturating at two, the only count that matters); the partial sketches are merged cell by cell, slice by
+slice (prefilter.py). Second pass: windows whose anchor is estimated to occur twice are grouped exactly, by a 96-bit hash,
+in buckets of their anchors. The sketch overestimates, so no repeated window is lost.
+A group sends only its first occurrence of a window, so a passage that a third of all documents share is a few rows; what
+is to be removed goes back as one row for each group.
 
 Cases: a null text is empty and keeps its row; rows with a null doc_id take no part and stay whole; rows that share a
 doc_id count as one document whose equal starts are the same place. An empty table gives an empty result. Extra columns
-are ignored. Memory follows the longest text and the partition size.
+are ignored. Memory follows the longest text and the size of a group.
 """
 
 from __future__ import annotations
@@ -23,90 +23,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bucket_count, by_bucket, chunks, corpus_size, gram_hash, merged_ranges, mix, pack, prefix_sums, range_hash, sliding_argmin, unpack
+from .common import by_bucket, gram_hash, mix, pack, prefix_sums, range_hash, sliding_argmin, unpack
+from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_bits
 
-MOST_BITS = 28  # most cells in a row of the sketch, as a power of two: 2 * 32 MB as bits
-ROWS = 2
-SLICES = 64
-SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 SECOND = np.uint64(0xD6E8FEB86659FD93)  # gives the same words other codes, for a second hash
-HELD = 1 << 21  # entries that a task holds before it sends them
-
-
-class Sketch:
-    """Which cells of each row of a count-min sketch have counted two or more."""
-
-    def __init__(self, bits: int, rows: list[np.ndarray]):
-        self.bits, self.rows = bits, rows
-
-    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
-        return mix(hashes ^ SEEDS[row]) >> np.uint64(64 - self.bits)
-
-    def twice(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for k, row in enumerate(self.rows):
-            cell = self.cells(hashes, k)
-            out &= (row[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-        return out
-
-
-def sketch_bits(expected: int) -> int:
-    """About eight cells for each expected anchor, within the bound."""
-    return int(min(MOST_BITS, max(16, int(max(1, 8 * expected) - 1).bit_length())))
-
-
-def sketch(docs: DataFrame, anchors, expected: int) -> Sketch:
-    """Sketch the hashes that anchors(chunk) gives for each chunk of (doc_id, text) rows."""
-    bits = sketch_bits(expected)
-    empty = Sketch(bits, [])
-    span = 1 << (bits - 6)
-
-    def partial(batches):
-        held, count = [], 0
-
-        def send():
-            for row in range(ROWS):
-                cells, times = np.unique(np.concatenate([empty.cells(h, row) for h in held]), return_counts=True)
-                for part, at in by_bucket((cells // np.uint64(span)).astype(np.int32)):
-                    local = (cells[at] - np.uint64(part * span)).astype(np.uint32)
-                    step = np.diff(local, prepend=np.uint32(0))
-                    narrow = step.max() < 65536
-                    yield row * SLICES + part, pack(step.astype(np.uint16 if narrow else np.uint32), times[at] > 1)
-
-        def rows(pairs):
-            pairs = list(pairs)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], names=["slice", "payload"])
-
-        for chunk in chunks(batches):
-            got = anchors(chunk)
-            held.append(got)
-            count += len(got)
-            if count >= HELD:
-                yield from rows(send())
-                held, count = [], 0
-        if count:
-            yield from rows(send())
-
-    def merge(table: pa.Table) -> pa.Table:
-        counts = np.zeros(span, np.uint8)
-        for blob in table["payload"]:
-            raw = blob.as_buffer()
-            n = np.frombuffer(raw, np.int64, 3)
-            step, more = unpack(raw, np.uint16 if n[1] == 2 * n[2] else np.uint32, np.bool_)
-            at = np.cumsum(step, dtype=np.int64)
-            counts[at] = np.minimum(2, counts[at] + 1 + more)
-        return pa.table({"slice": table["slice"].slice(0, 1), "payload": pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())})
-
-    parts = docs.mapInArrow(partial, "slice int, payload binary").groupBy("slice").applyInArrow(merge, "slice int, payload binary")
-    rows = [np.zeros(max(1, 1 << (bits - 3)), np.uint8) for _ in range(ROWS)]
-    width = span // 8
-    for part in parts.toLocalIterator():
-        at = part["slice"] % SLICES * width
-        rows[part["slice"] // SLICES][at : at + width] = np.frombuffer(bytes(part["payload"]), np.uint8)
-    return Sketch(bits, rows)
 
 
 def windows(chunk, size: int):
@@ -131,121 +52,57 @@ def window_anchors(size: int):
     return get
 
 
-def removal_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """(doc, packed runs) of ranges to remove."""
-    if not len(doc):
-        return
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    # neighbours that touch are put together here; what is left of overlaps is merged where a document's runs meet
-    at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])))
-    runs_doc, runs = doc[at], np.stack([start[at], np.maximum.reduceat(end, at)], axis=1).astype(np.int32)
-    cut = np.flatnonzero(np.append(True, runs_doc[1:] != runs_doc[:-1]))
-    for a, b in zip(cut, np.append(cut[1:], len(runs_doc)), strict=True):
-        yield int(runs_doc[a]), runs[a:b].tobytes()
-
-
-def removals(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, runs): the word ranges to remove of each document that has any, as packed pairs of 32-bit numbers."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    _, total = corpus_size(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, window_anchors(size), total // 24))
-    buckets = bucket_count(total // 2)
-
-    def find(batches):
-        held: list[tuple] = []
-
-        def send():
-            anchor, h1, h2, doc, place = (np.concatenate([h[k] for h in held]) for k in range(5))
-            order = np.lexsort((place, doc, h2, h1))
-            a, b = h1[order], h2[order]
-            first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            # the same place of one document, should a partition hold its row twice, isn't earlier than itself
-            lead = order[first][np.cumsum(first) - 1]
-            gone = order[(doc[order] != doc[lead]) | (place[order] != place[lead])]
-            keys, tags, docs_, blobs = [], [], [], []
-            for who, runs in removal_rows(doc[gone], place[gone], place[gone] + size):
-                keys.append(int(mix(np.array([who]).astype(np.uint64))[0] % np.uint64(buckets)))
-                tags.append(1)
-                docs_.append(who)
-                blobs.append(runs)
-            kept = order[first]
-            for bucket, at in by_bucket((anchor[kept] % np.uint64(buckets)).astype(np.int32)):
-                at = kept[at]
-                keys.append(bucket)
-                tags.append(0)
-                docs_.append(0)
-                blobs.append(pack(h1[at], doc[at], h2[at], place[at].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(tags, pa.int32()), pa.array(docs_, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "tag", "doc_id", "payload"])
-
-        count = 0
-        for chunk in chunks(batches):
-            words, sums, start, best, grams, doc, place = windows(chunk, size)
-            twice = np.zeros(len(grams), bool)
-            used = np.unique(best)
-            twice[used] = shared.value.twice(grams[used])
-            pick = np.flatnonzero(twice[best])
-            if not len(pick):
-                continue
+def later_places(h1, h2, doc, place) -> tuple[np.ndarray, np.ndarray]:
+    """(later, first): windows that another place before them equals, and the first of each window."""
+    order = np.lexsort((place, doc, h2, h1))
+    a, b = h1[order], h2[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    # the same place of one document, should a table hold its row twice, isn't earlier than itself
+    lead = order[first][np.cumsum(first) - 1]
+    return order[(doc[order] != doc[lead]) | (place[order] != place[lead])], order[first]
+
+
+def removals(groups: DataFrame, buckets: int, total: int, size: int) -> DataFrame:
+    """REMOVALS: the word ranges to remove."""
+    bits = sketch_bits(total // 24)
+
+    def find(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows):
+            return sent(0, buckets, ([],), [])
+        held = [(chunk, *windows(chunk, size)) for chunk in group_chunks(rows)]
+        used = [grams[np.unique(best)] for _, _, _, _, best, grams, _, _ in held]
+        anchors = np.unique(np.concatenate(used)) if used else np.zeros(0, np.uint64)
+        twice = estimated_twice(answers, anchors, bits)
+        found = []
+        for chunk, words, sums, start, best, grams, doc, place in held:
+            pick = np.flatnonzero(twice[np.searchsorted(anchors, grams[best])]) if len(best) else best
             h = range_hash(sums, start[pick], start[pick] + size)
             other = range_hash(prefix_sums(mix(words ^ SECOND)), start[pick], start[pick] + size)
-            held.append((mix(grams[best[pick]]), h, (other >> np.uint64(32)).astype(np.uint32), chunk.ids[doc[pick]], place[pick]))
-            count += len(pick)
-            if count >= HELD:
-                yield from send()
-                held, count = [], 0
-        if count:
-            yield from send()
-
-    def group(table: pa.Table) -> pa.Table:
-        tags = table["tag"].to_numpy()
-        out_doc = [int(d) for d, t in zip(table["doc_id"].to_numpy(), tags, strict=True) if t]
-        out_runs = [b.as_py() for b, t in zip(table["payload"], tags, strict=True) if t]
-        parts = [unpack(b.as_buffer(), np.uint64, np.int64, np.uint32, np.int32) for b, t in zip(table["payload"], tags, strict=True) if not t]
-        if parts:
-            h1, doc, h2, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            order = np.lexsort((place, doc, h2, h1))
-            a, b = h1[order], h2[order]
-            first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            # the same place of one document, should a table hold its row twice, isn't earlier than itself
-            lead = order[first][np.cumsum(first) - 1]
-            gone = order[(doc[order] != doc[lead]) | (place[order] != place[lead])]
-            for who, runs in removal_rows(doc[gone], place[gone].astype(np.int64), place[gone].astype(np.int64) + size):
-                out_doc.append(who)
-                out_runs.append(runs)
-        return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "runs": pa.array(out_runs, pa.binary())})
-
-    sent = docs.mapInArrow(find, "bucket int, tag int, doc_id long, payload binary")
-    return sent.groupBy("bucket").applyInArrow(group, "doc_id long, runs binary")
-
-
-def apply_removals(docs: DataFrame, found: DataFrame, finish, schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Give finish(bytes, runs) each document's text and its maximal runs; runs join by doc_id, rows without any stay."""
-    grouped = found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.hex("runs"))), "").alias("__runs"))
-    joined = docs.select(*keep, F.col("text").alias("__text"), F.col("doc_id").alias("__id")).join(grouped.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), "__id", "left")
-    where = len(keep)
-
-    def run(batches):
-        from .common import byte_parts
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out = []
-                for part, runs in zip(byte_parts(batch.column(where)), batch.column(where + 1).to_pylist(), strict=True):
-                    pairs = np.frombuffer(bytes.fromhex(runs or ""), np.int32).reshape(-1, 2).astype(np.int64)
-                    out.append(finish(bytes(part), *merged_ranges(pairs[:, 0], pairs[:, 1])))
-                yield [batch.column(i) for i in range(where)], out
-
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    fields = [f.strip().split() for f in schema.split(",")]
-
-    def batches_of(batches):
-        for kept, out in run(batches):
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([row[i] for row in out], kinds[kind]) for i, (_, kind) in enumerate(fields))], names=[*keep, *(n for n, _ in fields)])
-
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), schema])
-    return joined.select(*keep, "__text", "__runs").mapInArrow(batches_of, full)
+            found.append((mix(grams[best[pick]]), h, (other >> np.uint64(32)).astype(np.uint32), chunk.ids[doc[pick]], place[pick]))
+        g = rows["g"][0].as_py()
+        if not found or not sum(len(f[0]) for f in found):
+            return sent(g, buckets, ([],), [])
+        anchor, h1, h2, doc, place = (np.concatenate([f[k] for f in found]) for k in range(5))
+        gone, kept = later_places(h1, h2, doc, place)
+        blobs = []
+        for bucket, at in by_bucket((anchor[kept] % np.uint64(buckets)).astype(np.int32)):
+            at = kept[at]
+            ids, ref = np.unique(doc[at], return_inverse=True)
+            blobs.append((bucket, pack(np.array([g], np.int32), ids, ref.astype(np.uint32), h1[at], h2[at], place[at].astype(np.uint32))))
+        return sent(g, buckets, (doc[gone], place[gone], place[gone] + size), blobs)
+
+    def resolve(blobs):
+        parts = [unpack(b, np.int32, np.int64, np.uint32, np.uint64, np.uint32, np.uint32) for b in blobs]
+        g = np.concatenate([np.full(len(p[2]), p[0][0]) for p in parts])
+        doc = np.concatenate([p[1][p[2]] for p in parts])
+        h1, h2, place = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
+        place = place.astype(np.int64)
+        gone, _ = later_places(h1, h2, doc, place)
+        return g[gone], doc[gone], place[gone], place[gone] + size
+
+    answers = repeated(groups, window_anchors(size), bits)
+    found = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(find, SENT)
+    return found.groupBy("bucket").applyInArrow(lambda table: met(table, resolve), REMOVALS)
 
 
 def kept_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -256,6 +113,11 @@ def kept_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[
     return words, kept + words[at:]
 
 
+def without_repeats(docs: DataFrame, size: int, finish, schema: str, keep: tuple[str, ...]) -> DataFrame:
+    groups, buckets, total = dealt(docs, keep)
+    return applied(groups, removals(groups, buckets, total, size), finish, schema).select("kept.*", "found.*")
+
+
 def dedup(docs: DataFrame, size: int = 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each document with its words, those removed and the text of the words that stay, joined by one space."""
 
@@ -263,15 +125,14 @@ def dedup(docs: DataFrame, size: int = 20, keep: tuple[str, ...] = ("doc_id",))
         words, kept = kept_words(data, starts, ends)
         return len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")
 
-    return apply_removals(docs, removals(docs, size), finish, "n_words long, n_removed long, kept_text string", keep)
+    return without_repeats(docs, size, finish, "n_words long, n_removed long, kept_text string", keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: repeated windows of 20 words of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
     def finish(data, starts, ends):
         words, kept = kept_words(data, starts, ends)
         return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return apply_removals(docs, removals(docs, 20), finish, "n_words long, n_removed long, kept_sha256 string")
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 20, finish, "n_words long, n_removed long, kept_sha256 string", ("doc_id",))

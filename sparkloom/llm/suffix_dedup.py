@@ -5,9 +5,9 @@ never cross documents, overlaps count, and strings are judged on the input.
 
 The corpus is cut so that no transform spans more than a bucket. Every string of `least` bytes has an anchor, the
 `least // 2 - 4` byte gram with the least hash among those it holds, so equal strings have equal anchors. A run of strings
-with one anchor is a segment. Anchors are counted in a merged count-min sketch of bounded size; only segments whose
-anchor is estimated to occur twice are sent on, by bucket of the anchor. A partition sends equal segments once, for the
-smallest document; its other documents lose the whole segment at once.
+with one anchor is a segment. Groups of documents count anchors in a merged count-min sketch (prefilter.py); only segments
+whose anchor is estimated to occur twice are sent on, by bucket of the anchor. A group sends equal segments once, for the
+smallest document; its other documents lose the whole segment at once. Segments are equal if their bytes are.
 
 In a bucket the distinct segments are laid one after the other. Suffixes are sorted as deep as the threshold asks, which
 gives a Burrows-Wheeler transform good for strings up to that depth. Beginning with the empty string, intervals of
@@ -33,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, bucket_count, by_bucket, chunks, corpus_size, expanded, gram_hash, mix, pack, prefix_sums, range_hash, ranges, sliding_argmin, squeezed, unpack
-from .substring_dedup import apply_removals, removal_rows, sketch
+from .common import BYTE_CODES, by_bucket, chunks, corpus_size, expanded, gram_hash, mix, pack, prefix_sums, range_hash, ranges, sliding_argmin, squeezed, unpack
+from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_bits
 
 SAMPLE_DOCS = 512  # documents in which common grams are looked for
 COMMON = 0.01  # share of these from which on a gram counts as common
-HELD = 12 << 20  # bytes of segments that a task holds before it sends them
-BUCKET_BYTES = 1 << 20
+PIECE_BYTES = 3 << 19  # of segments that one transform spans
 HIGH = np.uint64(1 << 63)
 COMMON_BITS = 20
 
@@ -71,8 +70,9 @@ class Cutter:
         return sums, grams, anchor[first], doc[first], at[first], at[last] + self.least
 
 
-def common_grams(docs: DataFrame, least: int, rows: int) -> np.ndarray:
+def common_grams(docs: DataFrame, least: int) -> np.ndarray:
     """Hashes of the grams in at least a share COMMON of a sample of about SAMPLE_DOCS documents."""
+    rows, _ = corpus_size(docs)
     part = max(1, rows // SAMPLE_DOCS)
     plain = Cutter(least, np.zeros(0, np.uint64))
 
@@ -178,19 +178,36 @@ def smallest_owner(lengths: np.ndarray, data: np.ndarray, owners: np.ndarray, le
     return segment[where], out[where]
 
 
-def resolve(anchor, content, doc, start, lengths, data, least: int):
-    """(doc, start, end) of the bytes to remove of the segments of a bucket."""
+def equal_runs(lengths: np.ndarray, data: np.ndarray, order: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For segments laid end to end and sorted by hash: whether each differs from the first one of its hash.
+
+    The bytes are compared, so that segments whose hashes collide are taken for different ones.
+    """
+    offset = np.cumsum(lengths) - lengths
+    new = np.append(True, hashes[order][1:] != hashes[order][:-1])
+    lead = order[new][np.cumsum(new) - 1]
+    unlike = ~new & (lengths[order] != lengths[lead])
+    check = np.flatnonzero(~new & ~unlike)
+    if len(check):
+        sizes = lengths[order[check]]
+        same = data[ranges(offset[order[check]], sizes)] == data[ranges(offset[lead[check]], sizes)]
+        unlike[check] = ~np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)
+    return new | unlike
+
+
+def resolve(anchor, doc, start, lengths, data, least: int):
+    """(segment, start, end) of the bytes to remove of the segments of a bucket."""
     offset = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+    content = range_hash(prefix_sums(BYTE_CODES[data]), offset, offset + lengths)
     order = np.lexsort((doc, content, anchor))
-    a, c = anchor[order], content[order]
-    new_anchor = np.append(True, a[1:] != a[:-1])
-    new = new_anchor | np.append(True, c[1:] != c[:-1])
+    new_anchor = np.append(True, anchor[order][1:] != anchor[order][:-1])
+    new = new_anchor | equal_runs(lengths, data, order, content ^ mix(anchor.astype(np.uint64)))
     firsts = np.flatnonzero(new)  # one for each distinct segment, of its smallest document
     of = np.cumsum(new) - 1
     owner = doc[order[firsts]]
     # a segment that smaller documents hold as well goes as a whole
     later = order[doc[order] > owner[of]]
-    out = [(doc[later], start[later], start[later] + lengths[later])]
+    out = [(later, start[later], start[later] + lengths[later])]
     # segments that share an anchor but differ are compared string by string
     per_anchor = np.add.reduceat(new[:].astype(np.int64), np.flatnonzero(new_anchor))
     several = (per_anchor > 1)[np.cumsum(new_anchor) - 1]
@@ -218,84 +235,73 @@ def resolve(anchor, content, doc, start, lengths, data, least: int):
             left, right = np.searchsorted(which, seg), np.searchsorted(which, seg, "right")
             many = right - left
             h = holders[ranges(left, many)]
-            out.append((doc[h], start[h] + np.repeat(low, many), start[h] + np.repeat(high, many)))
+            out.append((h, start[h] + np.repeat(low, many), start[h] + np.repeat(high, many)))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def removals(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, runs): packed pairs of byte offsets to remove."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    rows, total = corpus_size(docs)
-    context = docs.sparkSession.sparkContext
-    cutter = Cutter(least, common_grams(docs, least, rows))
+def removals(groups: DataFrame, buckets: int, total: int, cutter: Cutter) -> DataFrame:
+    """REMOVALS: the byte ranges to remove."""
+    least, bits = cutter.least, sketch_bits(total // 14)
+    shared = groups.sparkSession.sparkContext.broadcast(cutter)
 
     def anchors(chunk):
-        _, grams, anchor, _, _, _ = cutter.cut(chunk)
+        _, grams, anchor, _, _, _ = shared.value.cut(chunk)
         return grams[anchor]
 
-    shared = context.broadcast((cutter, sketch(docs, anchors, total // 14)))
-    buckets = bucket_count(total, 2 * BUCKET_BYTES)
-
-    def find(batches):
-        cutter, seen = shared.value
-        held: list[tuple] = []
-
-        def send():
-            anchor, content, doc, start, lengths = (np.concatenate([h[k] for h in held]) for k in range(5))
-            data = np.concatenate([h[5] for h in held])
-            offset = np.cumsum(lengths) - lengths
-            order = np.lexsort((doc, content))
-            c, d = content[order], doc[order]
-            first = np.append(True, c[1:] != c[:-1])
-            smallest = d[first][np.cumsum(first) - 1]
-            gone, kept = order[d > smallest], order[d == smallest]
-            keys, tags, docs_, blobs = [], [], [], []
-            for who, runs in removal_rows(doc[gone], start[gone], start[gone] + lengths[gone]):
-                keys.append(int(mix(np.array([who]).astype(np.uint64))[0] % np.uint64(buckets)))
-                tags.append(1)
-                docs_.append(who)
-                blobs.append(runs)
-            for bucket, at in by_bucket((mix(anchor[kept]) % np.uint64(buckets)).astype(np.int32)):
-                at = kept[at]
-                keys.append(bucket)
-                tags.append(0)
-                docs_.append(0)
-                blobs.append(squeezed(pack(anchor[at], content[at], doc[at], start[at].astype(np.int32), lengths[at].astype(np.int32), data[ranges(offset[at], lengths[at])])))
-            for lo in range(0, len(keys), 4096):
-                hi = lo + 4096
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], pa.int32()), pa.array(tags[lo:hi], pa.int32()), pa.array(docs_[lo:hi], pa.int64()), pa.array(blobs[lo:hi], pa.binary())], names=["bucket", "tag", "doc_id", "payload"])
-
-        size = 0
-        for chunk in chunks(batches):
-            sums, grams, anchor, doc, start, end = cutter.cut(chunk)
-            pick = np.flatnonzero(seen.twice(grams[anchor])) if len(anchor) else anchor
-            if not len(pick):
-                continue
-            start, end, doc, lengths = start[pick], end[pick], doc[pick], end[pick] - start[pick]
-            content = range_hash(sums, start, end) + lengths.astype(np.uint64)
-            held.append((grams[anchor[pick]], content, chunk.ids[doc], start - chunk.starts[doc], lengths, chunk.buf[ranges(start, lengths)]))
-            size += int(lengths.sum())
-            if size >= HELD:
-                yield from send()
-                held, size = [], 0
-        if held:
-            yield from send()
-
-    def group(table: pa.Table) -> pa.Table:
-        tags = table["tag"].to_numpy()
-        out_doc = [int(d) for d, t in zip(table["doc_id"].to_numpy(), tags, strict=True) if t]
-        out_runs = [b.as_py() for b, t in zip(table["payload"], tags, strict=True) if t]
-        parts = [unpack(expanded(b.as_buffer()), np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8) for b, t in zip(table["payload"], tags, strict=True) if not t]
-        if parts:
-            anchor, content, doc, start, lengths, data = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            found = resolve(anchor, content, doc, start.astype(np.int64), lengths.astype(np.int64), data, least)
-            for who, runs in removal_rows(*found):
-                out_doc.append(who)
-                out_runs.append(runs)
-        return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "runs": pa.array(out_runs, pa.binary())})
-
-    sent = docs.mapInArrow(find, "bucket int, tag int, doc_id long, payload binary")
-    return sent.groupBy("bucket").applyInArrow(group, "doc_id long, runs binary")
+    def find(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows):
+            return sent(0, buckets, ([],), [])
+        held = []
+        for chunk in group_chunks(rows):
+            sums, grams, anchor, doc, start, end = shared.value.cut(chunk)
+            held.append((chunk, grams[anchor], doc, start, end, range_hash(sums, start, end)))
+        known = np.unique(np.concatenate([h[1] for h in held])) if held else np.zeros(0, np.uint64)
+        twice = estimated_twice(answers, known, bits)
+        found = []
+        for chunk, anchor, doc, start, end, content in held:
+            pick = np.flatnonzero(twice[np.searchsorted(known, anchor)]) if len(anchor) else anchor
+            lengths = end[pick] - start[pick]
+            found.append((anchor[pick], content[pick], chunk.ids[doc[pick]], start[pick] - chunk.starts[doc[pick]], lengths, chunk.buf[ranges(start[pick], lengths)]))
+        g = rows["g"][0].as_py()
+        if not found or not sum(len(f[0]) for f in found):
+            return sent(g, buckets, ([],), [])
+        anchor, content, doc, start, lengths, data = (np.concatenate([f[k] for f in found]) for k in range(6))
+        offset = np.cumsum(lengths) - lengths
+        order = np.lexsort((doc, content))
+        first = equal_runs(lengths, data, order, content)
+        smallest = doc[order][first][np.cumsum(first) - 1]
+        gone, kept = order[doc[order] > smallest], order[doc[order] == smallest]
+        blobs = []
+        for bucket, at in by_bucket((mix(anchor[kept]) % np.uint64(buckets)).astype(np.int32)):
+            at = kept[at]
+            ids, ref = np.unique(doc[at], return_inverse=True)
+            # a group's anchors may share half of their hash; then more segments are compared by their bytes
+            blobs.append((bucket, squeezed(pack(np.array([g], np.int32), ids, ref.astype(np.uint32), (anchor[at] >> np.uint64(16)).astype(np.uint32), start[at].astype(np.uint32), lengths[at].astype(np.uint32), data[ranges(offset[at], lengths[at])]))))
+        return sent(g, buckets, (doc[gone], start[gone], start[gone] + lengths[gone]), blobs)
+
+    def compared(blobs):
+        parts = [unpack(expanded(b), np.int32, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8) for b in blobs]
+        g = np.concatenate([np.full(len(p[2]), p[0][0]) for p in parts])
+        doc = np.concatenate([p[1][p[2]] for p in parts])
+        anchor, start, lengths, data = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5, 6))
+        start, lengths = start.astype(np.int64), lengths.astype(np.int64)
+        offset = np.cumsum(lengths) - lengths
+        out = []
+        for _, at in by_bucket((mix(anchor.astype(np.uint64)) % np.uint64(1 + len(data) // PIECE_BYTES)).astype(np.int64)):
+            which, low, high = resolve(anchor[at], doc[at], start[at], lengths[at], data[ranges(offset[at], lengths[at])], least)
+            out.append((g[at][which], doc[at][which], low, high))
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+
+    answers = repeated(groups, anchors, bits)
+    found = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(find, SENT)
+    return found.groupBy("bucket").applyInArrow(lambda table: met(table, compared), REMOVALS)
+
+
+def without_repeats(docs: DataFrame, least: int, finish, schema: str, keep: tuple[str, ...]) -> DataFrame:
+    """(kept, found) of each row, as applied() gives them."""
+    groups, buckets, total = dealt(docs, keep)
+    cutter = Cutter(least, common_grams(docs.select("doc_id", "text").where("doc_id is not null"), least))
+    return applied(groups, removals(groups, buckets, total, cutter), finish, schema)
 
 
 def kept_bytes(data: bytes, starts, ends) -> bytes:
@@ -308,13 +314,13 @@ def kept_bytes(data: bytes, starts, ends) -> bytes:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: bytes of documents covered by 50-byte strings of documents with smaller numbers."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
     def finish(data, starts, ends):
         kept = kept_bytes(data, starts, ends)
         return len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()
 
-    return apply_removals(docs, removals(docs, 50), finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return without_repeats(docs, 50, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("doc_id",)).select("kept.*", "found.*")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -326,9 +332,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def finish(data, starts, ends):
         return (kept_bytes(data, starts, ends).decode("utf-8", "ignore"),)
 
-    others = tuple(c for c in docs.columns if c != "text")
-    out = apply_removals(docs, removals(docs, 50), finish, "kept_text string", others).withColumnRenamed("kept_text", "text")
-    out = out.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    out = without_repeats(docs, 50, finish, "text string", tuple(c for c in docs.columns if c != "text"))
+    out = out.where(F.col("found.text").rlike(r"[\p{L}\p{N}]"))
+    of = {"text": F.col("found.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        of["n_chars"] = F.length("found.text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[of.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
