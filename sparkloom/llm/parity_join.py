@@ -6,12 +6,19 @@ as a whole. Two documents link when 100 * intersection >= percent * union.
 Documents with equal sets are one class from the start. For each size band, sketches of 64-bit blocks are made: a
 shingle's hash picks a block and a bit in it, and toggles that bit. Sketches of two sets differ in at most as many bits
 as the sets' symmetric difference has members, which a link bounds by d; with k > d blocks, linked sets agree in at least
-k - d blocks as a whole. Blocks without members are left out by sets that have few of them. Classes that meet in blocks
-are counted against what is then left of k - d, pair by pair in groups of up to GROUP classes; larger groups, as many near
-copies give them, are tied to their smallest class without counting, so no group gives more than GROUP pairs a class.
-What is left forms clusters that hold every link. Clusters are dealt in tiles of bounded
-size, pairs of tiles for large ones; there the sketches' Hamming distance rules pairs out and exact intersections decide
-the rest. A tile sends a spanning forest of its links, never all pairs, and components put the forests together.
+k - d blocks as a whole. Blocks without members are left out by sets that have few of them, and sets too small to link
+with any other take no part.
+
+Classes that share a block are a group. Groups are counted twice. First only the smallest class of a group against each
+other one, which is linear: those that share as many blocks as a link asks for are tied, and what is tied gets one label.
+So near copies, which share most of their blocks, become one label. Then labels are counted pair by pair: labels that
+hold a link share at least as many blocks. A group of more than GROUP labels ties them to its smallest without counting,
+so no group gives more than GROUP / 2 pairs for each of its members.
+What is tied forms clusters that hold every link. Clusters are dealt in tiles of bounded size; there the sketches' Hamming
+distance rules pairs out and exact intersections decide the rest. Large clusters are first thinned by pivots: a set that
+links with the pivot is done, unless it may link with one that doesn't by the triangle inequality of Jaccard distances;
+what is then left goes to pairs of tiles. A tile sends a spanning forest of its links, never all pairs, and components
+put the forests together.
 
 Cases: a null or empty text, or one of white space, has an empty set (n_shingles 0), is linked with nothing and is its
 own component. Repeated rows of a doc_id give a row each. Rows with a null doc_id are left out. An empty table gives an
@@ -28,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import bucket_count, by_bucket, checkpointed, chunks, components, corpus_size, mix, pack, prefix_sums, range_hash, ranges, unpack
 
 TILE = 1 << 19  # shingles in a tile
-HELD = 1 << 22
-GROUP = 256  # classes that share a block, up to which their pairs are counted
+HELD = 1 << 19  # entries that a task holds before it sends them
+GROUP = 256  # labels that share a block, up to which their pairs are counted
+PIVOTS = 8  # rounds that thin large clusters
 ONE = np.uint64(1)
 
 
@@ -51,6 +59,10 @@ class Bands:
         """Most members of the symmetric difference of linked sets whose sizes add up to total."""
         return (100 - self.percent) * total // (100 + self.percent)
 
+    def lone(self, sizes: np.ndarray) -> np.ndarray:
+        """Sets so small that any other set is too far from them, even the largest one that could link."""
+        return self.apart(sizes + sizes * 100 // self.percent) < 1
+
     def blocks(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks of the sketch for a band and its upper neighbour, and the difference that it allows."""
         d = self.apart(self.edges[band + 1] - 1 + self.edges[band + 2] - 1)
@@ -109,9 +121,18 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long")
 
 
-def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataFrame:
-    """(a, b): classes that share as many blocks as a link asks for, and those of large groups with their smallest."""
-    buckets = bucket_count(total // 2, 6 << 20)
+def in_rows(pairs: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"bucket": pa.array([b for b, _ in pairs], pa.int32()), "payload": pa.array([x for _, x in pairs], pa.binary())})
+
+
+DEALT = "bucket int, payload binary"
+
+
+def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
+    """DEALT: entries (key, class, band, half) of classes that share a block, sorted by key and class in each bucket of keys.
+
+    A pair of a group and band links only if it shares as many blocks as its two halves add up to.
+    """
 
     def send(batches):
         held, seen = [], set()
@@ -132,7 +153,7 @@ def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataF
             h, starts, counts = shingle_sets(chunk, size)
             cls, _ = set_keys(h, starts, counts)
             new = np.zeros(len(cls), bool)
-            for i in np.flatnonzero(counts):
+            for i in np.flatnonzero((counts > 0) & ~bands.lone(counts)):
                 if int(cls[i]) not in seen:
                     seen.add(int(cls[i]))
                     new[i] = True
@@ -165,98 +186,238 @@ def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataF
     def meet(table: pa.Table) -> pa.Table:
         parts = [unpack(b.as_buffer(), np.uint32, np.uint32, np.int64, np.uint16, np.float32) for b in table["payload"]]
         key = np.concatenate([p[0] for p in parts])
-        cls, config, half = (np.concatenate([p[k][p[1]] for p in parts]) for k in (2, 3, 4))
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         order = order[np.append(same, False) | np.append(False, same)]
-        order = order[np.lexsort((cls[order], key[order]))]
+        key = key[order]
+        cls, config, half = (np.concatenate([p[k][p[1]] for p in parts])[order] for k in (2, 3, 4))
+        order = np.lexsort((cls, config, key))
         key, cls, config, half = key[order], cls[order], config[order], half[order]
-        keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])) if len(key) else np.zeros(0, bool)
-        key, cls, config, half = key[keep], cls[keep], config[keep], half[keep]
-        found = []
-        if len(key):
-            firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(firsts, len(key)))
-            large = np.repeat(sizes > GROUP, sizes)
-            least = np.repeat(cls[firsts], sizes)  # a group is sorted by class
-            far = large & (least != cls)
-            found.append((least[far], cls[far], config[far], np.zeros(int(far.sum()), np.float32)))
-            key, cls, config, half = key[~large], cls[~large], config[~large], half[~large]
-            for step in range(1, GROUP):
-                at = np.flatnonzero(key[step:] == key[:-step])
-                if not len(at):
-                    break
-                at = at[config[at] == config[at + step]]
-                found.append((cls[at], cls[at + step], config[at], half[at] + half[at + step]))
-        if not found:
-            return pa.table({"bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
-        a, b, c, need = (np.concatenate([f[k] for f in found]) for k in range(4))
-        to = (mix(a.astype(np.uint64) ^ mix(b.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-        out = [(x, pack(a[at], b[at], need[at], c[at])) for x, at in by_bucket(to)]
-        return pa.table({"bucket": pa.array([x for x, _ in out], pa.int32()), "payload": pa.array([y for _, y in out], pa.binary())})
-
-    def enough(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_buffer(), np.int64, np.int64, np.float32, np.uint16) for b in table["payload"]]
-        a, b, need, c = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        order = np.lexsort((c, b, a))
-        a, b, need, c = a[order], b[order], need[order], c[order]
-        firsts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
-        ok = firsts[np.diff(np.append(firsts, len(a))) >= np.minimum.reduceat(need, firsts)]
-        return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
-
-    met = docs.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "bucket int, payload binary")
-    return met.groupBy("bucket").applyInArrow(enough, "a long, b long").distinct()
-
-
-def forest(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets of one cluster; tile: links within one side were another task's."""
-    n = len(ids)
-    most = int(sizes.max())
-    k = int(bands.apart(2 * most)) + 1
-    starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate(sets)
-    who, block, value, _ = parity(flat, starts, sizes, np.full(n, k))
-    sketch = np.zeros((n, k), np.uint64)
-    sketch[who, block] = value
-    parent = np.arange(n)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+        keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (config[1:] != config[:-1])) if len(key) else np.zeros(0, bool)
+        return in_rows([(table["bucket"][0].as_py(), pack(key[keep], cls[keep], config[keep], half[keep]))])
 
-    out = []
-    for i in range(1, n):
-        cand = np.arange(i)
-        cand = cand[(100 * np.minimum(sizes[:i], sizes[i]) >= bands.percent * np.maximum(sizes[:i], sizes[i])) & (tile[:i] != tile[i] if tile.any() else True)]
-        for lo in range(0, len(cand), max(1, (1 << 21) // k)):
-            part = cand[lo : lo + max(1, (1 << 21) // k)]
-            near = np.bitwise_count(sketch[part] ^ sketch[i]).sum(axis=1)
-            for j in part[near <= bands.apart(sizes[part] + sizes[i])]:
-                if root(i) == root(j):
-                    continue
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= bands.percent * (sizes[i] + sizes[j] - common):
-                    parent[root(i)] = root(j)
-                    out.append((int(ids[i]), int(ids[j])))
-    return out
+    return docs.mapInArrow(send, DEALT).groupBy("bucket").applyInArrow(meet, DEALT)
 
 
-def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Each row's (doc_id, n_shingles, c1, c2); and (c1, component, rep, first): first is the component's least class of those under its least doc_id."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    _, total = corpus_size(docs)
-    known = checkpointed(classes(docs, size))
-    unique = checkpointed(known.where("n_shingles > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
-    most = unique.agg(F.max("n")).first()[0] or 1
-    bands = Bands(percent, int(most))
-    clusters = components(shared_blocks(docs, size, bands, total))
-    members = checkpointed(clusters.withColumnRenamed("node", "c1").join(unique, "c1").select("c1", "root", "rep", "n"))
-    sized = members.groupBy("root").agg(F.sum("n").alias("all")).withColumn("tiles", F.ceil(F.col("all") / TILE).cast("int"))
+ENTRIES = (np.uint32, np.int64, np.uint16, np.float32)
+
+
+def group_starts(key: np.ndarray, config: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (config[1:] != config[:-1]))) if len(key) else np.zeros(0, np.int64)
+
+
+def pair_rows(a, b, config, need, count, buckets: int) -> list[tuple[int, bytes]]:
+    """Pairs of a bucket of keys, each once with its count and least need, dealt by a hash of the pair."""
+    order = np.lexsort((config, b, a))
+    a, b, config, need, count = (x[order] for x in (a, b, config, need, count))
+    if not len(a):
+        return []
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (config[1:] != config[:-1])))
+    need, count = np.minimum.reduceat(need, first), np.add.reduceat(count, first)
+    a, b, config = a[first], b[first], config[first]
+    to = (mix(a.astype(np.uint64) ^ mix(b.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+    return [(x, pack(a[at], b[at], config[at], need[at], count[at].astype(np.int32))) for x, at in by_bucket(to)]
+
+
+def enough(table: pa.Table) -> pa.Table:
+    """(a, b) that share as many blocks of a band as they need."""
+    parts = [unpack(p.as_buffer(), np.int64, np.int64, np.uint16, np.float32, np.int32) for p in table["payload"]]
+    a, b, c, need, count = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    order = np.lexsort((c, b, a))
+    a, b, c, need, count = a[order], b[order], c[order], need[order], count[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
+    ok = first[np.add.reduceat(count, first) >= np.minimum.reduceat(need, first)]
+    return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+
+
+def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataFrame:
+    """(a, b): ties of classes whose components hold every link."""
+    buckets = bucket_count(total // 2, 6 << 20)
+    groups = checkpointed(groups_of(docs, size, bands, buckets))
+
+    def stars(batches):
+        for batch in batches:
+            for payload in batch.column(1):
+                key, cls, config, half = unpack(payload.as_buffer(), *ENTRIES)
+                first = group_starts(key, config)
+                sizes = np.diff(np.append(first, len(key)))
+                lead = np.repeat(first, sizes)  # a group is sorted by class
+                at = np.flatnonzero(cls != cls[lead])
+                rows = pair_rows(cls[lead[at]], cls[at], config[at], half[at] + half[lead[at]], np.ones(len(at), np.int64), buckets)
+                yield from in_rows(rows).to_batches()
+
+    ties = checkpointed(groups.mapInArrow(stars, DEALT).groupBy("bucket").applyInArrow(enough, "a long, b long"))
+    labels = components(ties).select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "root")
+
+    def by_class(batches):
+        for batch in batches:
+            for home, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                key, cls, config, half = unpack(payload.as_buffer(), *ENTRIES)
+                rows = [(b, pack(np.array([home], np.int32), key[at], cls[at], config[at], half[at])) for b, at in by_bucket(np.mod(cls, buckets))]
+                yield from in_rows(rows).to_batches()
+
+    def labelled(sent: pa.Table, known: pa.Table) -> pa.Table:
+        node, root = known["node"].to_numpy(), known["root"].to_numpy()
+        order = np.argsort(node)
+        node, root = node[order], root[order]
+        rows = []
+        for payload in sent["payload"]:
+            home, key, cls, config, half = unpack(payload.as_buffer(), np.int32, *ENTRIES)
+            if len(node):
+                at = np.minimum(np.searchsorted(node, cls), len(node) - 1)
+                cls = np.where(node[at] == cls, root[at], cls)
+            rows.append((int(home[0]), pack(key, cls, config, half)))
+        return in_rows(rows)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        parts = [unpack(p.as_buffer(), *ENTRIES) for p in table["payload"]]
+        key, cls, config, half = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        order = np.lexsort((half, cls, config, key))
+        key, cls, config, half = key[order], cls[order], config[order], half[order]
+        keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (config[1:] != config[:-1])) if len(key) else np.zeros(0, bool)
+        key, cls, config, half = key[keep], cls[keep], config[keep], half[keep]
+        first = group_starts(key, config)
+        sizes = np.diff(np.append(first, len(key)))
+        lead, own = np.repeat(first, sizes), np.repeat(sizes, sizes)
+        place = np.arange(len(key)) - lead
+        far = np.flatnonzero((own > GROUP) & (place > 0))
+        rows = pair_rows(cls[lead[far]], cls[far], config[far], np.zeros(len(far), np.float32), np.ones(len(far), np.int64), buckets)
+        # each label with those behind it in its group, a bounded number of pairs at a time
+        behind = np.where(own > GROUP, 0, own - 1 - place)
+        some = np.flatnonzero(behind)
+        cut = np.searchsorted(np.cumsum(behind[some]), np.arange(1, 1 + int(behind.sum()) // HELD) * HELD)
+        for at in np.split(some, np.unique(cut)):
+            if len(at):
+                left = np.repeat(at, behind[at])
+                right = ranges(at + 1, behind[at])
+                rows += pair_rows(cls[left], cls[right], config[left], half[left] + half[right], np.ones(len(left), np.int64), buckets)
+        return in_rows(rows)
+
+    back = groups.mapInArrow(by_class, DEALT).groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(labelled, DEALT)
+    met = back.groupBy("bucket").applyInArrow(pairs, DEALT).groupBy("bucket").applyInArrow(enough, "a long, b long")
+    return ties.union(met)
+
+
+class Forest:
+    """A spanning forest of links among sets, built by comparing each new set with leaders.
+
+    A set that links with a leader is held by it. A set that doesn't link with a leader may link with what the leader
+    holds only if it is within twice the distance of a link (Jaccard distances keep the triangle inequality), so only
+    then are those compared. Sets that are connected already are never compared.
+    """
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
+        self.ids, self.sets, self.percent = ids, sets, percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.parent = list(range(len(ids)))
+        self.edges: list[tuple[int, int]] = []
+        bands = Bands(percent, 1)
+        k = int(bands.apart(2 * int(self.sizes.max()))) + 1
+        starts = np.cumsum(self.sizes) - self.sizes
+        who, block, value, _ = parity(np.concatenate(sets), starts, self.sizes, np.full(len(ids), k))
+        self.sketch = np.zeros((len(ids), k), np.uint64)
+        self.sketch[who, block] = value
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def linked(self, i: int, j: int) -> bool:
+        common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return 100 * common >= self.percent * (self.sizes[i] + self.sizes[j] - common)
+
+    def within(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of others whose similarity to i can be `percent` or more, by sizes and by the sketches' Hamming distance."""
+        both = self.sizes[others], self.sizes[i]
+        others = others[100 * np.minimum(*both) >= percent * np.maximum(*both)]
+        step = max(1, (1 << 21) // self.sketch.shape[1])
+        near = [np.bitwise_count(self.sketch[others[at : at + step]] ^ self.sketch[i]).sum(axis=1) for at in range(0, len(others), step)]
+        near = np.concatenate(near) if near else np.zeros(0, np.int64)
+        return others[(100 + percent) * near <= (100 - percent) * (self.sizes[others] + self.sizes[i])]
+
+    def join(self, i: int, others: np.ndarray, one: bool = False) -> int | None:
+        """Connects i to those of others that it links with, or to one of them; gives the first of these, or None."""
+        found = None
+        for j in self.within(i, others, self.percent).tolist():
+            a, b = self.root(i), self.root(j)
+            if a != b and self.linked(i, j):
+                self.parent[a] = b
+                self.edges.append((int(self.ids[i]), int(self.ids[j])))
+                found = j if found is None else found
+                if one:
+                    break
+        return found
+
+    def build(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Edges among all sets; with side, only between sets of different sides, as each side's own were another task's."""
+        if side is not None:
+            for i in np.flatnonzero(side == 0).tolist():
+                self.join(i, np.flatnonzero(side == 1))
+            return self.edges
+        leaders: list[int] = []
+        held: dict[int, list[int]] = {}
+        for i in range(len(self.ids)):
+            near = self.within(i, np.array(leaders, np.int64), max(1, 2 * self.percent - 100)) if leaders else np.zeros(0, np.int64)
+            home = self.join(i, near)
+            for leader in near.tolist():
+                if held[leader] and self.root(leader) != self.root(i):  # what a leader holds is connected to it
+                    self.join(i, np.array(held[leader], np.int64), one=True)
+            if home is None:
+                leaders.append(i)
+                held[i] = []
+            else:
+                held[home].append(i)
+        return self.edges
+
+
+def sets_of(table: pa.Table, size: int) -> dict[int, np.ndarray]:
+    """The sets of rows (c1, text) by class; another text under a repeated doc_id isn't the class's."""
+    sets: dict[int, np.ndarray] = {}
+    for chunk in chunks(table.select(["c1", "text"]).to_batches()):
+        h, starts, counts = shingle_sets(chunk, size)
+        mine, _ = set_keys(h, starts, counts)
+        for i, c in enumerate(chunk.ids.tolist()):
+            if int(mine[i]) == c:
+                sets[c] = h[starts[i] : starts[i] + counts[i]].copy()
+    return sets
+
+
+def thinned(docs: DataFrame, left: DataFrame, sized: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links with the pivots of the clusters in sized, what is left to compare) of classes (c1, root, rep, n, seen).
+
+    A class that links with the pivot can link with one that doesn't only if their distances to the pivot differ by no
+    more than a link's; classes for which there is no such one are done.
+    """
+    reach = (100 - percent) / 100 + 1e-9
+    tile = F.pmod(F.xxhash64("c1"), F.col("tiles")).cast("int").alias("tile")
+    large = left.join(sized.select("root", "tiles"), "root").select("root", "c1", "rep", "n", "seen", tile)
+    rows = docs.join(large.withColumnRenamed("rep", "doc_id"), "doc_id").select("root", "tile", "c1", "text")
+    pivots = docs.join(sized.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("root").alias("to"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("at"), F.col("c1").alias("centre"), F.col("text").alias("body"))
+
+    def compare(rows: pa.Table, pivot: pa.Table) -> pa.Table:
+        centre = sets_of(pivot.select(["centre", "body"]).rename_columns(["c1", "text"]), size)
+        (key, centre), out = next(iter(centre.items()), (0, np.zeros(0, np.uint64))), []
+        for c, mine in sets_of(rows, size).items():
+            common = int(np.isin(mine, centre, assume_unique=True).sum())
+            union = len(mine) + len(centre) - common
+            out.append((c, key, 1 - common / union, 100 * common >= percent * union))
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("c1", pa.int64()), ("pivot", pa.int64()), ("apart", pa.float64()), ("near", pa.bool_())))})
+
+    seen = checkpointed(rows.groupBy("root", "tile").cogroup(pivots.groupBy("to", "at")).applyInArrow(compare, "c1 long, pivot long, apart double, near boolean"))
+    judged = left.join(seen, "c1", "left")
+    outside = judged.where("not near and apart <= %r" % (2 * reach)).groupBy("root").agg(F.min("apart").alias("edge"))
+    kept = judged.join(outside, "root", "left").where(F.col("near").isNull() | ~F.col("near") | (F.col("apart") >= F.col("edge") - reach))
+    return seen.where("near and c1 <> pivot").select(F.col("c1").alias("a"), F.col("pivot").alias("b")), checkpointed(kept.select("c1", "root", "rep", "n", (F.col("seen") | F.coalesce("near", F.lit(False))).alias("seen")))
+
+
+def tile_links(docs: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links among classes (c1, root, rep, n), enough to connect all that are linked in a cluster."""
+    sized = left.groupBy("root").agg(F.sum("n").alias("all")).withColumn("tiles", F.ceil(F.col("all") / TILE).cast("int"))
     weight = sized.agg(F.sum("all")).first()[0] or 0
     groups = bucket_count(int(weight), TILE // 2)
-    placed = members.join(sized, "root").withColumn("tile", F.pmod(F.xxhash64("c1"), F.col("tiles")).cast("int"))
+    placed = left.join(sized, "root").withColumn("tile", F.pmod(F.xxhash64("c1"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     # a class of tile t goes to every pair of tiles that holds t; small clusters share a task
     placed = placed.select("rep", "c1", "root", "tile", "tiles", other)
@@ -271,29 +432,40 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     def verify(table: pa.Table) -> pa.Table:
         cls, roots, tiles = table["c1"].to_numpy(), table["root"].to_numpy(), table["tile"].to_numpy()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        sets: dict[int, np.ndarray] = {}
-        at = 0
-        for batch in table.select(["c1", "text"]).to_batches():
-            for chunk in chunks([batch]):
-                h, starts, counts = shingle_sets(chunk, size)
-                mine, _ = set_keys(h, starts, counts)
-                for i, c in enumerate(chunk.ids):
-                    if int(mine[i]) == int(c):  # not another text under a repeated doc_id
-                        sets[int(c)] = h[starts[i] : starts[i] + counts[i]].copy()
-                at += len(chunk.ids)
+        sets = sets_of(table, size)
         edges = []
         held, first = np.unique(cls, return_index=True)
         here = np.array([int(c) in sets for c in held], bool)
         held, first = held[here], first[here]
-        for where in (ix for _, ix in by_bucket(np.unique(roots[first], return_inverse=True)[1])):
+        for _, where in by_bucket(np.unique(roots[first], return_inverse=True)[1]):
             if len(where) > 1:
-                ids = held[where]
-                own = [sets[int(c)] for c in ids]
-                side = (tiles[first[where]] == high).astype(np.int8) if low != high else np.zeros(len(ids), np.int8)
-                edges += forest(ids, np.array([len(s) for s in own]), own, side, bands)
+                side = (tiles[first[where]] == high).astype(np.int8) if low != high else None
+                edges += Forest(held[where], [sets[int(c)] for c in held[where]], percent).build(side)
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    links = joined.select("c1", "root", "tile", "part", "low", "high", "text").groupBy("part", "low", "high").applyInArrow(verify, "a long, b long")
+    return joined.select("c1", "root", "tile", "part", "low", "high", "text").groupBy("part", "low", "high").applyInArrow(verify, "a long, b long")
+
+
+def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, n_shingles, c1, c2); and (c1, component, rep, first): first is the component's least class of those under its least doc_id."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    _, total = corpus_size(docs)
+    known = checkpointed(classes(docs, size))
+    unique = checkpointed(known.where("n_shingles > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+    most = unique.agg(F.max("n")).first()[0] or 1
+    bands = Bands(percent, int(most))
+    clusters = components(shared_blocks(docs, size, bands, total))
+    left = checkpointed(clusters.withColumnRenamed("node", "c1").join(unique, "c1").select("c1", "root", "rep", "n", F.lit(False).alias("seen")))
+    links = None
+    for _ in range(PIVOTS):
+        sized = left.groupBy("root").agg(F.sum("n").alias("all"), F.min(F.struct("seen", "c1", "rep")).alias("pivot")).where(F.col("all") > TILE)
+        sized = checkpointed(sized.select("root", "pivot.c1", "pivot.rep", F.ceil(F.col("all") / TILE).cast("int").alias("tiles")))
+        if sized.isEmpty():
+            break
+        edges, left = thinned(docs, left, sized, size, percent)
+        links = edges if links is None else links.union(edges)
+    edges = tile_links(docs, left, size, percent)
+    links = edges if links is None else links.union(edges)
     found = components(links)
     least = unique.join(found.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
     smallest = least.groupBy("root").agg(F.min(F.struct("rep", "c1")).alias("m"))

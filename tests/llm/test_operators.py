@@ -105,8 +105,9 @@ def test_interval_expansion(segments, least):
     assert smallest.tolist() == [first[s[at : at + least]] for s in segments for at in range(len(s) - least + 1)]
 
 
-@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
-def test_ngram_join(docs, empty, size, percent):
+@pytest.mark.parametrize("size, percent, tile", [(4, 85, parity_join.TILE), (5, 80, 300)])
+def test_ngram_join(docs, empty, size, percent, tile, monkeypatch):
+    monkeypatch.setattr(parity_join, "TILE", tile)
     sets = {}
     for i, t in texts():
         w = low_words(t)
@@ -151,6 +152,50 @@ def test_join_stage_of_repeated_and_null_doc_ids(spark):
     assert sorted(map(str, (t for i, t in got if i is None))) == sorted(map(str, (t for i, t in rows if i is None)))
 
 
+@given(st.integers(0, 10**6), st.sampled_from([80, 85]))
+@settings(max_examples=60, deadline=None)
+def test_forest_connects_all_links(seed, percent):
+    rng = random.Random(seed)
+    bases = [rng.sample(range(1000), rng.randint(5, 40)) for _ in range(3)]
+    sets = sorted({tuple(sorted({x if rng.random() > 0.07 else rng.randrange(1000) for x in rng.choice(bases)})) for _ in range(40)})
+    arrays = [np.sort(parity_join.mix(np.array(s, np.uint64) + np.uint64(1))) for s in sets]
+    ids = np.arange(len(sets))
+
+    def groups(edges):
+        label = list(ids)
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    links = [(i, j) for i in ids for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))]
+    assert groups(parity_join.Forest(ids, arrays, percent).build()) == groups(links)
+    side = np.array([rng.randrange(2) for _ in ids])
+    found = parity_join.Forest(ids, arrays, percent).build(side)
+    assert groups(found) == groups([(i, j) for i, j in links if side[i] != side[j]])
+
+
+def test_join_of_large_clusters_by_pivots(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "TILE", 400)
+    rng = random.Random(5)
+    chain = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):  # a chain of near copies whose ends are far apart, and one group around its first
+        rows.append((k, " ".join(chain)))
+        for _ in range(12 if k == 30 else 1):
+            chain[rng.randrange(60)] = f"x{k}"
+    first = rows[0][1].split()
+    rows += [(100 + k, " ".join(first[:30] + [f"y{k}"] + first[31:])) for k in range(40)]
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(57)} for i, t in rows}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    got = {r["doc_id"]: r["component_id"] for r in parity_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label and len(set(label.values())) == 2
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 51), (50, 51)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {**dict.fromkeys(range(1, 41), 1), 50: 50, 51: 50}
