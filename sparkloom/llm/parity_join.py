@@ -12,8 +12,9 @@ with any other take no part.
 Classes that share a block are a group. Groups are counted twice. First only the smallest class of a group against each
 other one, which is linear: those that share as many blocks as a link asks for are tied, and what is tied gets one label.
 So near copies, which share most of their blocks, become one label. Then labels are counted pair by pair: labels that
-hold a link share at least as many blocks. A group of more than GROUP labels ties them to its smallest without counting,
-so no group gives more than GROUP / 2 pairs for each of its members.
+hold a link share at least as many blocks. Pairs whose sizes or whose sketches of 256 bits rule a link out aren't sent; a
+label stands in a group with one of its sketches and the largest Hamming distance from it. A group of more than GROUP
+labels ties them to its smallest without counting, so no group compares more than GROUP / 2 pairs for each of its members.
 What is tied forms clusters that hold every link. Clusters are dealt in tiles of bounded size; there the sketches' Hamming
 distance rules pairs out and exact intersections decide the rest. Large clusters are first thinned by pivots: a set that
 links with the pivot is done, unless it may link with one that doesn't by the triangle inequality of Jaccard distances;
@@ -36,7 +37,8 @@ from .common import bucket_count, by_bucket, checkpointed, chunks, components, c
 
 TILE = 1 << 19  # shingles in a tile
 HELD = 1 << 19  # entries that a task holds before it sends them
-GROUP = 256  # labels that share a block, up to which their pairs are counted
+GROUP = 2048  # labels that share a block, up to which their pairs are compared
+SKETCH = 4  # words of 64 bits of the sketch that each class carries
 PIVOTS = 8  # rounds that thin large clusters
 ONE = np.uint64(1)
 
@@ -110,15 +112,19 @@ def parity(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, blocks: np.nda
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2): the size and the two hashes of each document's set."""
+    """(doc_id, n_shingles, c1, c2, s0 ...): the size and the two hashes of each document's set, and a sketch of it."""
+    sketch = [f"s{k}" for k in range(SKETCH)]
 
     def run(batches):
         for chunk in chunks(batches):
             h, starts, counts = shingle_sets(chunk, size)
             one, two = set_keys(h, starts, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids), pa.array(counts), pa.array(one), pa.array(two)], names=["doc_id", "n_shingles", "c1", "c2"])
+            who, block, value, _ = parity(h, starts, counts, np.full(len(counts), SKETCH))
+            bits = np.zeros((SKETCH, len(counts)), np.uint64)
+            bits[block, who] = value
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids), pa.array(counts), pa.array(one), pa.array(two), *(pa.array(b.view(np.int64)) for b in bits)], names=["doc_id", "n_shingles", "c1", "c2", *sketch])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long" + "".join(f", {c} long" for c in sketch))
 
 
 def in_rows(pairs: list[tuple[int, bytes]]) -> pa.Table:
@@ -230,8 +236,9 @@ def enough(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
 
 
-def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataFrame:
-    """(a, b): ties of classes whose components hold every link."""
+def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, total: int) -> DataFrame:
+    """(a, b): ties of classes whose components hold every link; unique has c1, n and the sketch of each class."""
+    sketch = [f"s{k}" for k in range(SKETCH)]
     buckets = bucket_count(total // 2, 6 << 20)
     groups = checkpointed(groups_of(docs, size, bands, buckets))
 
@@ -247,7 +254,8 @@ def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataF
                 yield from in_rows(rows).to_batches()
 
     ties = checkpointed(groups.mapInArrow(stars, DEALT).groupBy("bucket").applyInArrow(enough, "a long, b long"))
-    labels = components(ties).select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "root")
+    labels = unique.join(components(ties), unique["c1"] == F.col("node"), "left")
+    labels = labels.select(F.pmod("c1", F.lit(buckets)).cast("int").alias("bucket"), "c1", F.coalesce("root", "c1").alias("label"), F.col("n").cast("int").alias("n"), *sketch)
 
     def by_class(batches):
         for batch in batches:
@@ -257,40 +265,58 @@ def shared_blocks(docs: DataFrame, size: int, bands: Bands, total: int) -> DataF
                 yield from in_rows(rows).to_batches()
 
     def labelled(sent: pa.Table, known: pa.Table) -> pa.Table:
-        node, root = known["node"].to_numpy(), known["root"].to_numpy()
+        if not len(sent):
+            return in_rows([])
+        node = known["c1"].to_numpy()
         order = np.argsort(node)
-        node, root = node[order], root[order]
+        node, label, n = node[order], known["label"].to_numpy()[order], known["n"].to_numpy()[order]
+        bits = np.stack([known[c].to_numpy()[order] for c in sketch], axis=1)
         rows = []
         for payload in sent["payload"]:
             home, key, cls, config, half = unpack(payload.as_buffer(), np.int32, *ENTRIES)
-            if len(node):
-                at = np.minimum(np.searchsorted(node, cls), len(node) - 1)
-                cls = np.where(node[at] == cls, root[at], cls)
-            rows.append((int(home[0]), pack(key, cls, config, half)))
+            own, ref = np.unique(np.searchsorted(node, cls), return_inverse=True)  # every class is known
+            rows.append((int(home[0]), pack(key, ref.astype(np.uint32), config, half, label[own], n[own], bits[own])))
         return in_rows(rows)
 
     def pairs(table: pa.Table) -> pa.Table:
-        parts = [unpack(p.as_buffer(), *ENTRIES) for p in table["payload"]]
-        key, cls, config, half = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        order = np.lexsort((half, cls, config, key))
-        key, cls, config, half = key[order], cls[order], config[order], half[order]
-        keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (config[1:] != config[:-1])) if len(key) else np.zeros(0, bool)
-        key, cls, config, half = key[keep], cls[keep], config[keep], half[keep]
-        first = group_starts(key, config)
-        sizes = np.diff(np.append(first, len(key)))
-        lead, own = np.repeat(first, sizes), np.repeat(sizes, sizes)
+        parts = [unpack(p.as_buffer(), np.uint32, np.uint32, np.uint16, np.float32, np.int64, np.int32, np.uint64) for p in table["payload"]]
+        key, config, half = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+        base = np.cumsum([0] + [len(p[4]) for p in parts])
+        ref = np.concatenate([p[1].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
+        label, n = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
+        bits = np.concatenate([p[6] for p in parts]).reshape(-1, SKETCH)
+        order = np.lexsort((label[ref], config, key))
+        key, config, half, ref = key[order], config[order], half[order], ref[order]
+        own = label[ref]
+        # a label in a group: one of its sketches, how far its others are from it, its range of sizes and its least half
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (config[1:] != config[:-1])))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        stray = np.bitwise_count(bits[ref] ^ bits[ref[first]][of]).sum(axis=1).astype(np.int64)
+        radius, low, high = np.maximum.reduceat(stray, first), np.minimum.reduceat(n[ref], first).astype(np.int64), np.maximum.reduceat(n[ref], first).astype(np.int64)
+        half = np.minimum.reduceat(half, first)
+        key, config, own, ref = key[first], config[first], own[first], ref[first]
+        start = group_starts(key, config)
+        sizes = np.diff(np.append(start, len(key)))
+        lead, many = np.repeat(start, sizes), np.repeat(sizes, sizes)
         place = np.arange(len(key)) - lead
-        far = np.flatnonzero((own > GROUP) & (place > 0))
-        rows = pair_rows(cls[lead[far]], cls[far], config[far], np.zeros(len(far), np.float32), np.ones(len(far), np.int64), buckets)
+        far = np.flatnonzero((many > GROUP) & (place > 0))
+        rows = pair_rows(own[lead[far]], own[far], config[far], np.zeros(len(far), np.float32), np.ones(len(far), np.int64), buckets)
         # each label with those behind it in its group, a bounded number of pairs at a time
-        behind = np.where(own > GROUP, 0, own - 1 - place)
+        behind = np.where(many > GROUP, 0, many - 1 - place)
         some = np.flatnonzero(behind)
         cut = np.searchsorted(np.cumsum(behind[some]), np.arange(1, 1 + int(behind.sum()) // HELD) * HELD)
+        found = []
         for at in np.split(some, np.unique(cut)):
             if len(at):
-                left = np.repeat(at, behind[at])
-                right = ranges(at + 1, behind[at])
-                rows += pair_rows(cls[left], cls[right], config[left], half[left] + half[right], np.ones(len(left), np.int64), buckets)
+                left, right = np.repeat(at, behind[at]), ranges(at + 1, behind[at])
+                ok = (100 * high[left] >= bands.percent * low[right]) & (100 * high[right] >= bands.percent * low[left])
+                left, right = left[ok], right[ok]
+                near = np.bitwise_count(bits[ref[left]] ^ bits[ref[right]]).sum(axis=1).astype(np.int64) - radius[left] - radius[right]
+                ok = near <= bands.apart(high[left] + high[right])
+                found.append((left[ok], right[ok]))
+        if found:
+            left, right = (np.concatenate([f[k] for f in found]) for k in range(2))
+            rows += pair_rows(own[left], own[right], config[left], half[left] + half[right], np.ones(len(left), np.int64), buckets)
         return in_rows(rows)
 
     back = groups.mapInArrow(by_class, DEALT).groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(labelled, DEALT)
@@ -384,7 +410,7 @@ def sets_of(table: pa.Table, size: int) -> dict[int, np.ndarray]:
     return sets
 
 
-def thinned(docs: DataFrame, left: DataFrame, sized: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def thinned(texts: DataFrame, left: DataFrame, sized: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links with the pivots of the clusters in sized, what is left to compare) of classes (c1, root, rep, n, seen).
 
     A class that links with the pivot can link with one that doesn't only if their distances to the pivot differ by no
@@ -393,8 +419,8 @@ def thinned(docs: DataFrame, left: DataFrame, sized: DataFrame, size: int, perce
     reach = (100 - percent) / 100 + 1e-9
     tile = F.pmod(F.xxhash64("c1"), F.col("tiles")).cast("int").alias("tile")
     large = left.join(sized.select("root", "tiles"), "root").select("root", "c1", "rep", "n", "seen", tile)
-    rows = docs.join(large.withColumnRenamed("rep", "doc_id"), "doc_id").select("root", "tile", "c1", "text")
-    pivots = docs.join(sized.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("root").alias("to"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("at"), F.col("c1").alias("centre"), F.col("text").alias("body"))
+    rows = texts.join(large, "c1").select("root", "tile", "c1", "text")
+    pivots = texts.join(sized, "c1").select(F.col("root").alias("to"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("at"), F.col("c1").alias("centre"), F.col("text").alias("body"))
 
     def compare(rows: pa.Table, pivot: pa.Table) -> pa.Table:
         centre = sets_of(pivot.select(["centre", "body"]).rename_columns(["c1", "text"]), size)
@@ -451,18 +477,21 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     _, total = corpus_size(docs)
     known = checkpointed(classes(docs, size))
-    unique = checkpointed(known.where("n_shingles > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+    unique = checkpointed(known.where("n_shingles > 0").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *[F.max(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]))
     most = unique.agg(F.max("n")).first()[0] or 1
     bands = Bands(percent, int(most))
-    clusters = components(shared_blocks(docs, size, bands, total))
+    clusters = components(shared_blocks(docs, unique, size, bands, total))
     left = checkpointed(clusters.withColumnRenamed("node", "c1").join(unique, "c1").select("c1", "root", "rep", "n", F.lit(False).alias("seen")))
-    links = None
+    links = texts = None
     for _ in range(PIVOTS):
-        sized = left.groupBy("root").agg(F.sum("n").alias("all"), F.min(F.struct("seen", "c1", "rep")).alias("pivot")).where(F.col("all") > TILE)
-        sized = checkpointed(sized.select("root", "pivot.c1", "pivot.rep", F.ceil(F.col("all") / TILE).cast("int").alias("tiles")))
+        sized = left.groupBy("root").agg(F.sum("n").alias("all"), F.min(F.struct("seen", "c1")).alias("pivot")).where(F.col("all") > TILE)
+        sized = checkpointed(sized.select("root", "pivot.c1", F.ceil(F.col("all") / TILE).cast("int").alias("tiles")))
         if sized.isEmpty():
             break
-        edges, left = thinned(docs, left, sized, size, percent)
+        if texts is None:  # of large clusters only, and once for all rounds
+            wanted = left.join(sized.select("root"), "root", "left_semi").select(F.col("rep").alias("doc_id"), "c1")
+            texts = checkpointed(docs.join(wanted, "doc_id").select("c1", "text"))
+        edges, left = thinned(texts, left, sized, size, percent)
         links = edges if links is None else links.union(edges)
     edges = tile_links(docs, left, size, percent)
     links = edges if links is None else links.union(edges)
