@@ -10,8 +10,8 @@ k - d blocks as a whole. Blocks without members are left out by sets that have f
 with any other take no part.
 
 Classes that share a block are a group. Groups are counted twice. First only the smallest class of a group against each
-other one, which is linear: those that share as many blocks as a link asks for are tied, and what is tied gets one label.
-So near copies, which share most of their blocks, become one label. Then labels are counted pair by pair: labels that
+other one, which is linear: those that share half of their blocks are tied, and what is tied gets one label. So near copies,
+which share most of their blocks, become one label. Then labels are counted pair by pair: labels that
 hold a link share at least as many blocks. Pairs whose sizes or whose sketches of 256 bits rule a link out aren't sent; a
 label stands in a group with one of its sketches and the largest Hamming distance from it. A group of more than GROUP
 labels ties them to its smallest without counting, so no group compares more than GROUP / 2 pairs for each of its members.
@@ -39,6 +39,7 @@ TILE = 1 << 19  # shingles in a tile
 HELD = 1 << 19  # entries that a task holds before it sends them
 GROUP = 2048  # labels that share a block, up to which their pairs are compared
 SKETCH = 4  # words of 64 bits of the sketch that each class carries
+BUCKET_BYTES = 24 << 20  # a set's blocks in one bucket share what is sent of the set
 PIVOTS = 8  # rounds that thin large clusters
 ONE = np.uint64(1)
 
@@ -147,11 +148,11 @@ def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFra
             key, cls, config, half = (np.concatenate([x[k] for x in held]) for k in range(4))
             out = []
             for bucket, at in by_bucket((key >> np.uint64(32)).astype(np.int64) % buckets):
-                # what belongs to a set and a band is sent once for all of its blocks in the bucket
-                ids = cls[at] ^ (config[at].astype(np.int64) * 0x5851F42D4C957F2D)
-                _, first, ref = np.unique(ids, return_index=True, return_inverse=True)
+                # entries come set by set; what belongs to a set and a band is sent once for all of its blocks in the bucket
+                first = np.flatnonzero(np.append(True, (cls[at][1:] != cls[at][:-1]) | (config[at][1:] != config[at][:-1])))
+                times = np.diff(np.append(first, len(at)))
                 first = at[first]
-                out.append((bucket, pack(key[at].astype(np.uint32), ref.astype(np.uint32), cls[first], config[first], half[first])))
+                out.append((bucket, pack(key[at].astype(np.uint32), times.astype(np.uint16), cls[first], config[first], half[first])))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "payload"])
 
         count = 0
@@ -190,13 +191,13 @@ def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFra
             yield from rows()
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_buffer(), np.uint32, np.uint32, np.int64, np.uint16, np.float32) for b in table["payload"]]
+        parts = [unpack(b.as_buffer(), np.uint32, np.uint16, np.int64, np.uint16, np.float32) for b in table["payload"]]
         key = np.concatenate([p[0] for p in parts])
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         order = order[np.append(same, False) | np.append(False, same)]
         key = key[order]
-        cls, config, half = (np.concatenate([p[k][p[1]] for p in parts])[order] for k in (2, 3, 4))
+        cls, config, half = (np.concatenate([np.repeat(p[k], p[1]) for p in parts])[order] for k in (2, 3, 4))
         order = np.lexsort((cls, config, key))
         key, cls, config, half = key[order], cls[order], config[order], half[order]
         keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (config[1:] != config[:-1])) if len(key) else np.zeros(0, bool)
@@ -239,7 +240,7 @@ def enough(table: pa.Table) -> pa.Table:
 def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, total: int) -> DataFrame:
     """(a, b): ties of classes whose components hold every link; unique has c1, n and the sketch of each class."""
     sketch = [f"s{k}" for k in range(SKETCH)]
-    buckets = bucket_count(total // 2, 6 << 20)
+    buckets = bucket_count(total // 2, BUCKET_BYTES)
     groups = checkpointed(groups_of(docs, size, bands, buckets))
 
     def stars(batches):
@@ -250,7 +251,8 @@ def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, t
                 sizes = np.diff(np.append(first, len(key)))
                 lead = np.repeat(first, sizes)  # a group is sorted by class
                 at = np.flatnonzero(cls != cls[lead])
-                rows = pair_rows(cls[lead[at]], cls[at], config[at], half[at] + half[lead[at]], np.ones(len(at), np.int64), buckets)
+                most = (bands.blocks(config[at].astype(np.int64))[0] / 2).astype(np.float32)
+                rows = pair_rows(cls[lead[at]], cls[at], config[at], most, np.ones(len(at), np.int64), buckets)
                 yield from in_rows(rows).to_batches()
 
     ties = checkpointed(groups.mapInArrow(stars, DEALT).groupBy("bucket").applyInArrow(enough, "a long, b long"))
