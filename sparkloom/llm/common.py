@@ -76,6 +76,11 @@ def byte_parts(column: pa.Array | pa.ChunkedArray) -> list[memoryview]:
     return [view[at[i] : at[i + 1]] if valid is None or valid[i] else view[:0] for i in range(len(column))]
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """Values as strings; bytes that are no UTF-8 become replacement characters."""
+    return [bytes(p).decode("utf-8", "replace") if ok else None for p, ok in zip(byte_parts(column), column.is_valid().to_pylist(), strict=True)]
+
+
 class Chunk:
     """Documents laid one after the other, each followed by a line feed."""
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import strings
+
 SAMPLE_PAGES = 400  # most labelled pages that costs are learned from
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title", "noembed", "xmp"}
@@ -181,7 +183,7 @@ def main_text(pages: DataFrame, costs: dict[str, float]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [extract(p, costs) for p in batch.column(2).to_pylist()]
+                texts = [extract(p, costs) for p in strings(batch.column(2))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder
+from .common import crc_remainder, strings
 
 SAMPLE_ROWS = 1500  # most labelled rows that the classifier is fitted on
 ROWS = 1 << 15  # hashed subwords
@@ -202,35 +202,34 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most sample_rows labelled rows, those whose number's digest comes first; fold 2 of 4 is left out."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 4) != 2))
     ids = [r[0] for r in labelled.select("doc_id").distinct().orderBy(F.crc32(F.reverse(F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(sample_rows).collect()]
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
-    rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows)[:sample_rows]
+    # one row of each number, so that repeated ones don't add to what is collected
+    rows = labelled.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang").collect() if ids else []
+    rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows)
     return fit([(t, y) for _, t, y in rows])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Predict every row: the columns named in keep, then lang_pred, score, accepted."""
+    """Predict every row: the columns named in keep as one struct, then lang_pred, score, accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string, score double, accepted boolean"])
-    where = len(keep)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns[:1]]).alias("kept"), "text")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                names, score, ok = predict(shared.value, batch.column(where).to_pylist())
-                arrays = [batch.column(i) for i in range(where)] + [pa.array(names, pa.string()), pa.array(score), pa.array(ok)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score", "accepted"])
+                names, score, ok = predict(shared.value, strings(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(ok)], names=["kept", "lang_pred", "score", "accepted"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return held.mapInArrow(run, f"kept {held.schema['kept'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: the language of every whole text of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, train(docs), ("doc_id",))
-    return found.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+    return found.select("kept.doc_id", "lang_pred", "score", "accepted").select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the model rejects go. Returns the columns of docs."""
-    return identify(docs, train(docs), tuple(docs.columns)).where("accepted").select(*docs.columns)
+    return identify(docs, train(docs), tuple(docs.columns)).where("accepted").select("kept.*")

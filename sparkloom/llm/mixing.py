@@ -11,8 +11,8 @@ with a third of all rows is no hot spot: only block totals are added up along a
 
 Cases: a null source is a source of its own; null text or no words count 0 tokens and follow their source's whole passes;
 rows with a null doc_id are placed by the digest of the empty string; repeated rows are taken or left alike but counted
-each. An empty table gives an empty result. With one source the weight is 1. Extra columns are kept by `mix`.
-Columns of docs must not begin with `__mix_`.
+each. An empty table gives an empty result. With one source the weight is 1. Extra columns of any name are kept by `mix`;
+it replaces columns named tokens or copies.
 """
 
 from __future__ import annotations
@@ -67,9 +67,12 @@ def mix(docs: DataFrame, repeats: float | None = REPEATS, entropy: float | None
 
     budget: tokens to be dealt; without it, as many as let the source with the least coverage be seen once.
     """
-    keyed = docs.select(
-        "*", tokens().alias("__mix_tokens"), F.coalesce(F.col("source"), F.lit("\x00")).alias("__mix_source"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__mix_key"),
+    # the columns of docs go by their places, so that no name of theirs meets one of ours
+    name = {c: f"__mix_column_{k}" for k, c in enumerate(docs.columns)}
+    keyed = docs.toDF(*name.values())
+    keyed = keyed.select(
+        "*", tokens(name["text"]).alias("__mix_tokens"), F.coalesce(F.col(name["source"]), F.lit("\x00")).alias("__mix_source"),
+        F.md5(F.coalesce(F.col(name["doc_id"]).cast("string"), F.lit(""))).alias("__mix_key"),
     ).withColumn("__mix_block", (F.conv(F.substring("__mix_key", 1, 6), 16, 10).cast("long") % BLOCKS).cast("int"))
     blocks = keyed.groupBy("__mix_source", "__mix_block").agg(F.sum("__mix_tokens").alias("n"))
     totals = blocks.groupBy(F.col("__mix_source").alias("source")).agg(F.sum("n").alias("tokens"))
@@ -87,7 +90,8 @@ def mix(docs: DataFrame, repeats: float | None = REPEATS, entropy: float | None
     joined = keyed.join(placed, (F.col("__mix_source") == F.col("s")) & (F.col("__mix_block") == F.col("b")))
     within = F.sum("__mix_tokens").over(Window.partitionBy("__mix_source", "__mix_block").orderBy("__mix_key").rangeBetween(Window.unboundedPreceding, 0))
     copies = F.col("passes") + F.when((F.col("__mix_tokens") > 0) & (within <= F.col("left")), 1).otherwise(0)
-    return joined.select(*(F.col(c) for c in docs.columns), F.col("__mix_tokens").alias("tokens"), copies.cast("long").alias("copies")).where("copies > 0")
+    kept = [F.col(held).alias(c) for c, held in name.items() if c not in ("tokens", "copies")]
+    return joined.select(*kept, F.col("__mix_tokens").alias("tokens"), copies.cast("long").alias("copies")).where("copies > 0")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import strings
 from .html_extract import visible_text
 
 DATE = "2024-01-01T00:00:00Z"
@@ -111,7 +112,7 @@ def responses(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                rows = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
+                rows = zip(b.column(0).to_pylist(), strings(b.column(1)), strings(b.column(2)), strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([response(*r) for r in rows], pa.binary())], names=["page_id", "record"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, record binary")

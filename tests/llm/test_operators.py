@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, html_extract, langid, lm_score, mixing, parity_join, substring_dedup, suffix_dedup, warc, webp
 from sparkloom.llm.common import components
@@ -441,3 +442,56 @@ def test_units_of_many_words_are_those_of_each():
         assert units.tolist() == model.units_of([word])[0].tolist()
         assert (units % 2).tolist() == [0] * (len(units) - 1) + [1]
     assert model.units_of([]) == []
+
+
+CLASHES = ["score", "accepted", "lang_pred", "__text", "text_", "kept", "kept_text", "__id", "__runs", "g", "id", "found", "copies", "tokens", "s", "b", "n", "c1", "root", "rep", "component", "first", "left", "passes", "bucket"]
+
+
+def test_pipeline_with_clashing_names_against_its_rules(spark, tmp_path):
+    """run() over odd rows and columns: what each stage must keep and drop, by plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [line(40), line(30)]
+    base, passage = line(120), line(30)
+    rows = [line(rng.randint(60, 150)) for _ in range(60)]
+    rows += [base, base, base + " and more", "x " + base]
+    rows += [line(60) + " " + passage + " " + line(50) for _ in range(4)]
+    rows += [line(40) + " " + items[0] + " " + line(40), items[1] + " " + line(80)]
+    rows += [None, "", "12345 !!", line(4000)]
+    table = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(rows)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit("own").alias(c) for c in CLASHES])
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(out.columns) == {*docs.columns, "tokens", "copies"}
+    got = {r["doc_id"]: r for r in out.collect()}
+    copies = set(range(60, 64))
+    assert len(copies & set(got)) == 1 and min(copies) in got  # near copies: the smallest doc_id
+    assert not {68, 69} & set(got)  # benchmark passages
+    assert not {70, 71, 72} & set(got)  # no language
+    assert set(range(60)) | {64, 73} <= set(got)  # clean documents stay
+    first, want = {}, {}
+    for i in sorted(set(range(60)) | {60, 64, 65, 66, 67, 73}):  # what reaches the third stage
+        b = rows[i].encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 49):
+            if first.setdefault(b[s : s + 50], i) < i:
+                gone[s : s + 50] = b"\1" * 50
+        want[i] = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode()
+    for i, r in got.items():
+        assert r["text"] == want[i] and r["n_chars"] == len(want[i]) and r["tokens"] == len(want[i].split()) and r["copies"] >= 1
+        assert all(r[c] == "own" for c in CLASHES if c not in ("tokens", "copies"))
+    assert len(want[65]) < len(rows[65])
+
+
+def test_bytes_that_are_no_utf8(spark):
+    bad = spark.createDataFrame([(1, bytearray(b"caf\xe9 \xff\xfe words")), (2, None)], "doc_id long, raw binary")
+    docs = bad.selectExpr("doc_id", "doc_id AS page_id", "'http://e.org/' AS url", "CAST(raw AS STRING) AS text", "CAST(raw AS STRING) AS html", "'s' AS source", "'en' AS lang")
+    assert langid.identify(docs, langid.fit([("some words here", "en"), ("des mots ici", "fr")]), ("doc_id",)).count() == 2
+    assert html_extract.main_text(docs, dict(html_extract.DEFAULT_COSTS)).count() == 2
+    assert warc.responses(docs).count() == 2
+    assert substring_dedup.dedup(docs).count() == mixing.mix(docs).count() == 2
