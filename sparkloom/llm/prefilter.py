@@ -10,6 +10,8 @@ meets the group's texts with its answers. A sketch overestimates, so nothing tha
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,9 +41,17 @@ def group_chunks(table: pa.Table):
     return chunks(table.filter(pc.is_valid(table["id"])).select(["id", "text"]).to_batches())
 
 
-def sketch_bits(expected: int) -> int:
+class Shape(NamedTuple):
+    """A row of the sketch: 2**bits cells in slices of 2**width."""
+
+    bits: int
+    width: int
+
+
+def sketch_shape(expected: int) -> Shape:
     """About eight cells for each expected hash, as a power of two."""
-    return max(16, int(max(1, 8 * expected) - 1).bit_length())
+    bits = max(16, int(max(1, 8 * expected) - 1).bit_length())
+    return Shape(bits, min(bits, SLICE_BITS))
 
 
 def cells_of(hashes: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,19 +59,21 @@ def cells_of(hashes: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.nd
     return np.unique(mix(hashes ^ SEEDS[row]) >> np.uint64(64 - bits), return_inverse=True)
 
 
-def slice_ends(cells: np.ndarray, bits: int):
+def slice_ends(cells: np.ndarray, width: int):
     """(slice, first, end) of each slice that sorted cells lie in."""
-    part = (cells >> np.uint64(min(bits, SLICE_BITS))).astype(np.int64)
-    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    part = (cells >> np.uint64(width)).astype(np.int64)
+    if not len(part):
+        return ()
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     return zip(part[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True)
 
 
-def repeated(groups: DataFrame, anchors, bits: int) -> DataFrame:
+def repeated(groups: DataFrame, anchors, shape: Shape) -> DataFrame:
     """(g, slice, payload): for each group and slice, one bit for each of its cells: whether all groups together count two.
 
     anchors(chunk) gives a hash for each occurrence.
     """
-    width = min(bits, SLICE_BITS)
+    bits, width = shape
     slices = 1 << (bits - width)
 
     def partial(table: pa.Table) -> pa.Table:
@@ -72,20 +84,20 @@ def repeated(groups: DataFrame, anchors, bits: int) -> DataFrame:
             for row in range(ROWS):
                 cells, at = cells_of(u, row, bits)
                 more = np.bincount(at, times, len(cells)) > 1
-                for part, a, b in slice_ends(cells, bits):
+                for part, a, b in slice_ends(cells, width):
                     local = (cells[a:b] & np.uint64((1 << width) - 1)).astype(np.uint32)
                     step = np.diff(local, prepend=np.uint32(0))
                     keys.append(row * slices + part)
-                    blobs.append(pack(step.astype(np.uint16 if step.max() < 65536 else np.uint32), np.packbits(more[a:b])))
+                    narrow = bool(step.max() < 65536)
+                    blobs.append(bytes([narrow]) + pack(step.astype(np.uint16 if narrow else np.uint32), np.packbits(more[a:b])))
         return pa.table({"slice": pa.array(keys, pa.int64()), "g": pa.array([table["g"][0].as_py()] * len(keys), pa.int32()), "payload": pa.array(blobs, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         counts = np.zeros(1 << width, np.uint8)
 
         def read(blob):
-            raw = blob.as_buffer()
-            sizes = np.frombuffer(raw, np.int64, 3)
-            step, more = unpack(raw, np.uint16 if (sizes[1] // 2 + 7) // 8 == sizes[2] else np.uint32, np.uint8)
+            raw = blob.as_py()
+            step, more = unpack(raw[1:], np.uint16 if raw[0] else np.uint32, np.uint8)
             return np.cumsum(step, dtype=np.int64), more
 
         for blob in table["payload"]:
@@ -98,15 +110,16 @@ def repeated(groups: DataFrame, anchors, bits: int) -> DataFrame:
     return parts.groupBy("slice").applyInArrow(merge, "g int, slice long, payload binary")
 
 
-def estimated_twice(answers: pa.Table, hashes: np.ndarray, bits: int) -> np.ndarray:
+def estimated_twice(answers: pa.Table, hashes: np.ndarray, shape: Shape) -> np.ndarray:
     """Which of a group's distinct sorted hashes repeated() counts twice or more."""
-    slices = 1 << (bits - min(bits, SLICE_BITS))
+    bits, width = shape
+    slices = 1 << (bits - width)
     blobs = dict(zip(answers["slice"].to_pylist(), answers["payload"], strict=True))
     out = np.ones(len(hashes), bool)
     for row in range(ROWS):
         cells, at = cells_of(hashes, row, bits)
         twice = np.zeros(len(cells), bool)
-        for part, a, b in slice_ends(cells, bits):
+        for part, a, b in slice_ends(cells, width):
             twice[a:b] = np.unpackbits(np.frombuffer(blobs[row * slices + part].as_buffer(), np.uint8), count=b - a)
         out &= twice[at]
     return out

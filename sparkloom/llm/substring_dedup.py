@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_bucket, gram_hash, mix, pack, prefix_sums, range_hash, sliding_argmin, unpack
-from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_bits
+from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_shape
 
 SECOND = np.uint64(0xD6E8FEB86659FD93)  # gives the same words other codes, for a second hash
 
@@ -64,7 +64,7 @@ def later_places(h1, h2, doc, place) -> tuple[np.ndarray, np.ndarray]:
 
 def removals(groups: DataFrame, buckets: int, total: int, size: int) -> DataFrame:
     """REMOVALS: the word ranges to remove."""
-    bits = sketch_bits(total // 24)
+    shape = sketch_shape(total // 24)
 
     def find(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
@@ -72,7 +72,7 @@ def removals(groups: DataFrame, buckets: int, total: int, size: int) -> DataFram
         held = [(chunk, *windows(chunk, size)) for chunk in group_chunks(rows)]
         used = [grams[np.unique(best)] for _, _, _, _, best, grams, _, _ in held]
         anchors = np.unique(np.concatenate(used)) if used else np.zeros(0, np.uint64)
-        twice = estimated_twice(answers, anchors, bits)
+        twice = estimated_twice(answers, anchors, shape)
         found = []
         for chunk, words, sums, start, best, grams, doc, place in held:
             pick = np.flatnonzero(twice[np.searchsorted(anchors, grams[best])]) if len(best) else best
@@ -100,7 +100,7 @@ def removals(groups: DataFrame, buckets: int, total: int, size: int) -> DataFram
         gone, _ = later_places(h1, h2, doc, place)
         return g[gone], doc[gone], place[gone], place[gone] + size
 
-    answers = repeated(groups, window_anchors(size), bits)
+    answers = repeated(groups, window_anchors(size), shape)
     found = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(find, SENT)
     return found.groupBy("bucket").applyInArrow(lambda table: met(table, resolve), REMOVALS)
 

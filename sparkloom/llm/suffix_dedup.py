@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, by_bucket, chunks, corpus_size, expanded, gram_hash, mix, pack, prefix_sums, range_hash, ranges, sliding_argmin, squeezed, unpack
-from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_bits
+from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_shape
 
 SAMPLE_DOCS = 512  # documents in which common grams are looked for
 COMMON = 0.01  # share of these from which on a gram counts as common
@@ -241,7 +241,7 @@ def resolve(anchor, doc, start, lengths, data, least: int):
 
 def removals(groups: DataFrame, buckets: int, total: int, cutter: Cutter) -> DataFrame:
     """REMOVALS: the byte ranges to remove."""
-    least, bits = cutter.least, sketch_bits(total // 14)
+    least, shape = cutter.least, sketch_shape(total // 14)
     shared = groups.sparkSession.sparkContext.broadcast(cutter)
 
     def anchors(chunk):
@@ -256,7 +256,7 @@ def removals(groups: DataFrame, buckets: int, total: int, cutter: Cutter) -> Dat
             sums, grams, anchor, doc, start, end = shared.value.cut(chunk)
             held.append((chunk, grams[anchor], doc, start, end, range_hash(sums, start, end)))
         known = np.unique(np.concatenate([h[1] for h in held])) if held else np.zeros(0, np.uint64)
-        twice = estimated_twice(answers, known, bits)
+        twice = estimated_twice(answers, known, shape)
         found = []
         for chunk, anchor, doc, start, end, content in held:
             pick = np.flatnonzero(twice[np.searchsorted(known, anchor)]) if len(anchor) else anchor
@@ -292,7 +292,7 @@ def removals(groups: DataFrame, buckets: int, total: int, cutter: Cutter) -> Dat
             out.append((g[at][which], doc[at][which], low, high))
         return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
 
-    answers = repeated(groups, anchors, bits)
+    answers = repeated(groups, anchors, shape)
     found = groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(find, SENT)
     return found.groupBy("bucket").applyInArrow(lambda table: met(table, compared), REMOVALS)
 

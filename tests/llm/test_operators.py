@@ -77,6 +77,20 @@ def test_substring_dedup_of_repeated_rows(docs):
         assert set(got) == want and len(got) == 2 * docs.count()
 
 
+def test_dedup_of_short_texts_and_many_slices(spark, monkeypatch):
+    from sparkloom.llm import prefilter
+
+    short = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (None, "a")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.dedup(short).collect()] == [0] * 4
+    assert suffix_dedup.without_repeats(short, 50, lambda data, s, e: (len(s),), "n long", ("doc_id",)).where("found.n > 0").count() == 0
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 90)))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substring_dedup.dedup(docs, 4).collect()))
+    monkeypatch.setattr(prefilter, "SLICE_BITS", 11)
+    assert sorted(map(tuple, substring_dedup.dedup(docs, 4).collect())) == want and any(r[2] for r in want)
+
+
 def test_suffix_dedup(spark, docs, tmp_path):
     first, want = {}, {}
     for i, t in texts():
