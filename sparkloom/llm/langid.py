@@ -211,13 +211,16 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """Predict every row: the columns named in keep as one struct, then lang_pred, score, accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns[:1]]).alias("kept"), "text")
+    kept = keep or docs.columns[:1]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), *([] if "text" in kept else ["text"]))
+    where = kept.index("text") if "text" in kept else None  # a text that is kept is sent once
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                names, score, ok = predict(shared.value, strings(batch.column(1)))
+                texts = batch.column(1) if where is None else batch.column(0).field(where)
+                names, score, ok = predict(shared.value, strings(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(ok)], names=["kept", "lang_pred", "score", "accepted"])
 
     return held.mapInArrow(run, f"kept {held.schema['kept'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")

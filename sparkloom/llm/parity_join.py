@@ -152,7 +152,7 @@ def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFra
                 first = np.flatnonzero(np.append(True, (cls[at][1:] != cls[at][:-1]) | (config[at][1:] != config[at][:-1])))
                 times = np.diff(np.append(first, len(at)))
                 first = at[first]
-                out.append((bucket, pack(key[at].astype(np.uint32), times.astype(np.uint16), cls[first], config[first], half[first])))
+                out.append((bucket, pack(key[at].astype(np.uint32), times.astype(np.uint32), cls[first], config[first], half[first])))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "payload"])
 
         count = 0
@@ -191,13 +191,16 @@ def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFra
             yield from rows()
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_buffer(), np.uint32, np.uint16, np.int64, np.uint16, np.float32) for b in table["payload"]]
-        key = np.concatenate([p[0] for p in parts])
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        order = order[np.append(same, False) | np.append(False, same)]
-        key = key[order]
-        cls, config, half = (np.concatenate([np.repeat(p[k], p[1]) for p in parts])[order] for k in (2, 3, 4))
+        parts = [unpack(b.as_buffer(), np.uint32, np.uint32, np.int64, np.uint16, np.float32) for b in table["payload"]]
+        key = np.sort(np.concatenate([p[0] for p in parts]))
+        shared = np.unique(key[1:][key[1:] == key[:-1]])
+        del key
+        found = []  # few keys are shared, so only their entries are laid out
+        for key, times, *rest in parts if len(shared) else []:
+            at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key)
+            of = np.searchsorted(np.cumsum(times, dtype=np.int64), at, "right")
+            found.append((key[at], *(x[of] for x in rest)))
+        key, cls, config, half = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate(ENTRIES))
         order = np.lexsort((cls, config, key))
         key, cls, config, half = key[order], cls[order], config[order], half[order]
         keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (config[1:] != config[:-1])) if len(key) else np.zeros(0, bool)

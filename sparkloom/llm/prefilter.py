@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, by_bucket, byte_parts, chunks, corpus_size, merged_ranges, mix, pack, unpack
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 SLICE_BITS = 23
 ROWS = 2
 SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
