@@ -39,7 +39,7 @@ TILE = 1 << 19  # shingles in a tile
 HELD = 1 << 19  # entries that a task holds before it sends them
 GROUP = 2048  # labels that share a block, up to which their pairs are compared
 SKETCH = 4  # words of 64 bits of the sketch that each class carries
-BUCKET_BYTES = 24 << 20  # a set's blocks in one bucket share what is sent of the set
+BUCKET_BYTES = 10 << 20  # a set's blocks in one bucket share what is sent of the set
 PIVOTS = 8  # rounds that thin large clusters
 ONE = np.uint64(1)
 
