@@ -458,7 +458,8 @@ def tile_links(docs: DataFrame, left: DataFrame, size: int, percent: int) -> Dat
         F.when(F.col("tiles") == 1, -1).otherwise(F.least("tile", "other")).alias("low"),
         F.when(F.col("tiles") == 1, -1).otherwise(F.greatest("tile", "other")).alias("high"),
     )
-    joined = docs.join(placed.withColumnRenamed("rep", "doc_id"), "doc_id")
+    # the same plan at every size: what is placed grows with the table, so it is never broadcast
+    joined = docs.join(placed.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
 
     def verify(table: pa.Table) -> pa.Table:
         cls, roots, tiles = table["c1"].to_numpy(), table["root"].to_numpy(), table["tile"].to_numpy()
@@ -495,7 +496,7 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
             break
         if texts is None:  # of large clusters only, and once for all rounds
             wanted = left.join(sized.select("root"), "root", "left_semi").select(F.col("rep").alias("doc_id"), "c1")
-            texts = checkpointed(docs.join(wanted, "doc_id").select("c1", "text"))
+            texts = checkpointed(docs.join(wanted.hint("merge"), "doc_id").select("c1", "text"))
         edges, left = thinned(texts, left, sized, size, percent)
         links = edges if links is None else links.union(edges)
     edges = tile_links(docs, left, size, percent)
