@@ -1,11 +1,12 @@
 """What the text operators share: hashing of byte and word ranges, packed exchanges, checkpoints, components.
 
-Text is worked on as numpy blocks of about one megabyte. An exchange sends packed arrays keyed by a bucket of a
+Text is worked on as numpy blocks of about half a megabyte. An exchange sends packed arrays keyed by a bucket of a
 hash, so that Spark moves a few large rows and every bucket has a bounded share of the input.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -15,12 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
 _BASE = 0x9E6C63D0876A9A63  # odd, so that its powers can be inverted modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system; workers live on from stage to stage, and what they hold is the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_table(which: str, base: int, n: int) -> np.ndarray:
     if which not in _powers or len(_powers[which]) < n:
-        size = max(n, 1 << 21)
+        size = max(1 << int(n).bit_length(), 1 << 19)
         steps = np.full(size, base & _MASK, np.uint64)
         steps[0] = 1
         _powers[which] = np.cumprod(steps, dtype=np.uint64)
@@ -117,6 +126,8 @@ def chunks(batches, limit: int = CHUNK_BYTES):
             total += len(part) + 1
     if parts:
         yield Chunk(np.array(ids, np.int64), parts)
+    ids, parts = [], []
+    tidy()
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:

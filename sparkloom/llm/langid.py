@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, strings
+from .common import crc_remainder, strings, tidy
 
 SAMPLE_ROWS = 1500  # most labelled rows that the classifier is fitted on
 ROWS = 1 << 15  # hashed subwords
@@ -222,6 +222,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
                 texts = batch.column(1) if where is None else batch.column(0).field(where)
                 names, score, ok = predict(shared.value, strings(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(ok)], names=["kept", "lang_pred", "score", "accepted"])
+            tidy()
 
     return held.mapInArrow(run, f"kept {held.schema['kept'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_bucket, checkpointed, chunks, components, corpus_size, mix, pack, prefix_sums, range_hash, ranges, unpack
+from .common import bucket_count, by_bucket, checkpointed, chunks, components, corpus_size, mix, pack, prefix_sums, range_hash, ranges, tidy, unpack
 
 TILE = 1 << 19  # shingles in a tile
 HELD = 1 << 19  # entries that a task holds before it sends them
@@ -191,6 +191,7 @@ def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFra
             yield from rows()
 
     def meet(table: pa.Table) -> pa.Table:
+        tidy()
         parts = [unpack(b.as_buffer(), np.uint32, np.uint32, np.int64, np.uint16, np.float32) for b in table["payload"]]
         key = np.sort(np.concatenate([p[0] for p in parts]))
         shared = np.unique(key[1:][key[1:] == key[:-1]])
@@ -246,6 +247,8 @@ def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, t
     buckets = bucket_count(total // 2, BUCKET_BYTES)
     groups = checkpointed(groups_of(docs, size, bands, buckets))
 
+    half_of_band = (bands.blocks(np.arange(len(bands.edges) - 2))[0] / 2).astype(np.float32)
+
     def stars(batches):
         for batch in batches:
             for payload in batch.column(1):
@@ -254,9 +257,11 @@ def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, t
                 sizes = np.diff(np.append(first, len(key)))
                 lead = np.repeat(first, sizes)  # a group is sorted by class
                 at = np.flatnonzero(cls != cls[lead])
-                most = (bands.blocks(config[at].astype(np.int64))[0] / 2).astype(np.float32)
+                most = half_of_band[config[at]]
                 rows = pair_rows(cls[lead[at]], cls[at], config[at], most, np.ones(len(at), np.int64), buckets)
+                del key, cls, config, half, lead, at, most
                 yield from in_rows(rows).to_batches()
+                tidy()
 
     ties = checkpointed(groups.mapInArrow(stars, DEALT).groupBy("bucket").applyInArrow(enough, "a long, b long"))
     labels = unique.join(components(ties), unique["c1"] == F.col("node"), "left")
@@ -270,6 +275,7 @@ def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, t
                 yield from in_rows(rows).to_batches()
 
     def labelled(sent: pa.Table, known: pa.Table) -> pa.Table:
+        tidy()
         if not len(sent):
             return in_rows([])
         node = known["c1"].to_numpy()
@@ -284,6 +290,7 @@ def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, t
         return in_rows(rows)
 
     def pairs(table: pa.Table) -> pa.Table:
+        tidy()
         parts = [unpack(p.as_buffer(), np.uint32, np.uint32, np.uint16, np.float32, np.int64, np.int32, np.uint64) for p in table["payload"]]
         key, config, half = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
         base = np.cumsum([0] + [len(p[4]) for p in parts])
@@ -462,6 +469,7 @@ def tile_links(docs: DataFrame, left: DataFrame, size: int, percent: int) -> Dat
     joined = docs.join(placed.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
 
     def verify(table: pa.Table) -> pa.Table:
+        tidy()
         cls, roots, tiles = table["c1"].to_numpy(), table["root"].to_numpy(), table["tile"].to_numpy()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         sets = sets_of(table, size)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_bucket, byte_parts, chunks, corpus_size, merged_ranges, mix, pack, unpack
+from .common import bucket_count, by_bucket, byte_parts, chunks, corpus_size, merged_ranges, mix, pack, tidy, unpack
 
 GROUP_BYTES = 4 << 20
 SLICE_BITS = 23
@@ -77,6 +77,7 @@ def repeated(groups: DataFrame, anchors, shape: Shape) -> DataFrame:
     slices = 1 << (bits - width)
 
     def partial(table: pa.Table) -> pa.Table:
+        tidy()
         found = [anchors(c) for c in group_chunks(table)]
         keys, blobs = [], []
         if found:
@@ -93,6 +94,7 @@ def repeated(groups: DataFrame, anchors, shape: Shape) -> DataFrame:
         return pa.table({"slice": pa.array(keys, pa.int64()), "g": pa.array([table["g"][0].as_py()] * len(keys), pa.int32()), "payload": pa.array(blobs, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
+        tidy()
         counts = np.zeros(1 << width, np.uint8)
 
         def read(blob):
@@ -175,6 +177,7 @@ def applied(groups: DataFrame, removals: DataFrame, finish, schema: str) -> Data
     fields = [(n, KINDS[t]) for n, t in (f.strip().split() for f in schema.split(","))]
 
     def run(rows: pa.Table, gone: pa.Table) -> pa.Table:
+        tidy()
         parts = [unpack(b.as_buffer(), np.int64, np.uint32, np.uint32, np.uint32) for b in gone["payload"]]
         doc = np.concatenate([p[0][p[1]] for p in parts]) if parts else np.zeros(0, np.int64)
         start = np.concatenate([p[2] for p in parts]).astype(np.int64) if parts else doc

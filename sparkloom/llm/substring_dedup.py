@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bucket, gram_hash, mix, pack, prefix_sums, range_hash, sliding_argmin, unpack
+from .common import by_bucket, gram_hash, mix, pack, prefix_sums, range_hash, sliding_argmin, tidy, unpack
 from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_shape
 
 SECOND = np.uint64(0xD6E8FEB86659FD93)  # gives the same words other codes, for a second hash
@@ -67,6 +67,7 @@ def removals(groups: DataFrame, buckets: int, total: int, size: int) -> DataFram
     shape = sketch_shape(total // 24)
 
     def find(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        tidy()
         if not len(rows):
             return sent(0, buckets, ([],), [])
         held = [(chunk, *windows(chunk, size)) for chunk in group_chunks(rows)]
@@ -92,6 +93,7 @@ def removals(groups: DataFrame, buckets: int, total: int, size: int) -> DataFram
         return sent(g, buckets, (doc[gone], place[gone], place[gone] + size), blobs)
 
     def resolve(blobs):
+        tidy()
         parts = [unpack(b, np.int32, np.int64, np.uint32, np.uint64, np.uint32, np.uint32) for b in blobs]
         g = np.concatenate([np.full(len(p[2]), p[0][0]) for p in parts])
         doc = np.concatenate([p[1][p[2]] for p in parts])

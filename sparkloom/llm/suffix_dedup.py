@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, by_bucket, chunks, corpus_size, expanded, gram_hash, mix, pack, prefix_sums, range_hash, ranges, sliding_argmin, squeezed, unpack
+from .common import BYTE_CODES, by_bucket, chunks, corpus_size, expanded, gram_hash, mix, pack, prefix_sums, range_hash, ranges, sliding_argmin, squeezed, tidy, unpack
 from .prefilter import REMOVALS, SENT, applied, dealt, estimated_twice, group_chunks, met, repeated, sent, sketch_shape
 
 SAMPLE_DOCS = 512  # documents in which common grams are looked for
@@ -249,6 +249,7 @@ def removals(groups: DataFrame, buckets: int, total: int, cutter: Cutter) -> Dat
         return grams[anchor]
 
     def find(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        tidy()
         if not len(rows):
             return sent(0, buckets, ([],), [])
         held = []
@@ -280,6 +281,7 @@ def removals(groups: DataFrame, buckets: int, total: int, cutter: Cutter) -> Dat
         return sent(g, buckets, (doc[gone], start[gone], start[gone] + lengths[gone]), blobs)
 
     def compared(blobs):
+        tidy()
         parts = [unpack(expanded(b), np.int32, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8) for b in blobs]
         g = np.concatenate([np.full(len(p[2]), p[0][0]) for p in parts])
         doc = np.concatenate([p[1][p[2]] for p in parts])
