@@ -4,17 +4,18 @@ A document's set holds the hashes of its distinct `size`-word shingles, lower-ca
 as a whole. Two documents link when 100 * intersection >= percent * union.
 
 Documents with equal sets are one class from the start. For each size band, sketches of 64-bit blocks are made: a
-shingle's hash picks a block and a bit in it, and toggles that bit. Sketches of two sets differ in at most as many bits
+shingle's hash picks a block and bits in it, and toggles those. Sketches of two sets differ in at most as many bits
 as the sets' symmetric difference has members, which a link bounds by d; with k > d blocks, linked sets agree in at least
-k - d blocks as a whole. Blocks without members are left out by sets that have few of them, and sets too small to link
-with any other take no part.
+k - d blocks as a whole, and of the m blocks with members of either in m - d. Blocks without members are left out by sets
+that have more than d others, and sets too small to link with any other take no part.
 
 Classes that share a block are a group. Groups are counted twice. First only the smallest class of a group against each
 other one, which is linear: those that share half of their blocks are tied, and what is tied gets one label. So near copies,
 which share most of their blocks, become one label. Then labels are counted pair by pair: labels that
 hold a link share at least as many blocks. Pairs whose sizes or whose sketches of 256 bits rule a link out aren't sent; a
-label stands in a group with one of its sketches and the largest Hamming distance from it. A group of more than GROUP
-labels ties them to its smallest without counting, so no group compares more than GROUP / 2 pairs for each of its members.
+label stands in a group with one of its sketches and the largest Hamming distance from it. A class leaves as many groups of
+more than GROUP classes as it can spare by its number of blocks. If more than GROUP labels are left in a group, they are
+tied to its smallest without counting, so no group compares more than GROUP / 2 pairs for each of its members.
 What is tied forms clusters that hold every link. Clusters are dealt in tiles of bounded size; there the sketches' Hamming
 distance rules pairs out and exact intersections decide the rest. Large clusters are first thinned by pivots: a set that
 links with the pivot is done, unless it may link with one that doesn't by the triangle inequality of Jaccard distances;
@@ -69,7 +70,7 @@ class Bands:
     def blocks(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks of the sketch for a band and its upper neighbour, and the difference that it allows."""
         d = self.apart(self.edges[band + 1] - 1 + self.edges[band + 2] - 1)
-        return d + 1 + np.maximum(1, (d + 1) // 8), d
+        return d + 1 + np.maximum(8, (d + 1) // 3), d
 
 
 def shingle_sets(chunk, size: int):
@@ -101,11 +102,15 @@ def set_keys(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.
     return out[0], out[1]
 
 
-def parity(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, blocks: np.ndarray):
-    """Sketches as their blocks with members: (set, block, value, members) arrays; blocks left out are zero."""
+def parity(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, blocks: np.ndarray, wide: bool = False):
+    """Sketches as their blocks with members: (set, block, value, members) arrays; blocks left out are zero.
+
+    A member toggles one bit, so that sketches differ in no more bits than the sets have different members; with wide it
+    toggles about half of the bits, so that blocks of few but different members aren't equal by chance.
+    """
     who = np.repeat(np.arange(len(counts)), counts)
     block = ((h[ranges(starts, counts)] >> np.uint64(32)) * blocks.astype(np.uint64)[who] >> np.uint64(32)).astype(np.int64)
-    bit = ONE << (h[ranges(starts, counts)] & np.uint64(63))
+    bit = mix(h[ranges(starts, counts)]) if wide else ONE << (h[ranges(starts, counts)] & np.uint64(63))
     # sets are sorted by hash and the block grows with the hash, so a block's members lie together
     firsts = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (block[1:] != block[:-1]))) if len(who) else who
     value = np.bitwise_xor.reduceat(bit, firsts) if len(firsts) else bit
@@ -138,7 +143,9 @@ DEALT = "bucket int, payload binary"
 def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
     """DEALT: entries (key, class, band, half) of classes that share a block, sorted by key and class in each bucket of keys.
 
-    A pair of a group and band links only if it shares as many blocks as its two halves add up to.
+    A pair of a group and band links only if it shares as many blocks as its two halves add up to. A linked set of m blocks
+    with members shares m - d of them at least, so (m - d) / 2 is its half. A set of d blocks with members, or fewer, sends
+    the blocks without members as well, and its half is 0. A group of more than GROUP classes is marked in its band.
     """
 
     def send(batches):
@@ -172,16 +179,15 @@ def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFra
                 if not len(use):
                     continue
                 k, d = bands.blocks(band)
-                who, block, value, _ = parity(h, starts[use], counts[use], k)
-                empty = k - np.bincount(who, minlength=len(use))
-                skips = empty <= (k - d - 1) // 2
-                sends = np.flatnonzero(~skips)
+                who, block, value, _ = parity(h, starts[use], counts[use], k, wide=True)
+                spare = np.bincount(who, minlength=len(use)) - d
+                sends = np.flatnonzero(spare <= 0)
                 every, owner = ranges(np.zeros(len(sends), np.int64), k[sends]), np.repeat(sends, k[sends])
                 free = ~np.isin(owner * (1 << 40) + every, who * (1 << 40) + block)
                 who, block = np.concatenate([who, owner[free]]), np.concatenate([block, every[free]])
                 value = np.concatenate([value, np.zeros(int(free.sum()), np.uint64)])
                 key = mix(value ^ mix((band[who].astype(np.uint64) << np.uint64(40)) + block.astype(np.uint64)))
-                half = ((k - d) / 2 - np.where(skips, empty, 0)).astype(np.float32)
+                half = (np.maximum(spare, 0) / 2).astype(np.float32)
                 held.append((key, cls[use][who], band[who].astype(np.uint16), half[who]))
                 count += len(key)
             if count >= HELD:
@@ -205,18 +211,44 @@ def groups_of(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFra
         order = np.lexsort((cls, config, key))
         key, cls, config, half = key[order], cls[order], config[order], half[order]
         keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (config[1:] != config[:-1])) if len(key) else np.zeros(0, bool)
-        return in_rows([(table["bucket"][0].as_py(), pack(key[keep], cls[keep], config[keep], half[keep]))])
+        key, cls, config, half = key[keep], cls[keep], config[keep], half[keep]
+        first = group_starts(key, config)
+        sizes = np.diff(np.append(first, len(key)))
+        config = config | np.repeat(np.where(sizes > GROUP, LARGE, 0).astype(np.uint16), sizes)
+        return in_rows([(table["bucket"][0].as_py(), pack(key, cls, config, half))])
 
     return docs.mapInArrow(send, DEALT).groupBy("bucket").applyInArrow(meet, DEALT)
 
 
 ENTRIES = (np.uint32, np.int64, np.uint16, np.float32)
+LARGE = np.uint16(1 << 15)  # marks the band of a large group
 
 
 def group_starts(key: np.ndarray, config: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (config[1:] != config[:-1]))) if len(key) else np.zeros(0, np.int64)
 
 
+def spare_entries(at: np.ndarray, cls: np.ndarray, config: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which entries stay, the halves): of its entries in large groups a class leaves out as many as its half is above.
+
+    Each of them lowers its half by one, so linked classes still share as many of the others as their halves add up to.
+    """
+    band, large = config & ~LARGE, config >= LARGE
+    order = np.lexsort((at, ~large, cls, band))
+    first = group_starts(cls[order], band[order])
+    sizes = np.diff(np.append(first, len(cls)))
+    many = np.add.reduceat(large[order], first, dtype=np.int64) if len(first) else sizes
+    most = np.minimum(many, np.maximum(0, np.ceil(half[order][first]).astype(np.int64) - 1))
+    stays, less = np.empty(len(cls), bool), np.empty(len(cls), np.float32)
+    stays[order] = np.arange(len(cls)) - np.repeat(first, sizes) >= np.repeat(most, sizes)
+    less[order] = np.repeat(most, sizes)
+    return stays, half - less
+
+
+def cut_like(arrays: tuple, sizes: list[int]) -> list[tuple]:
+    return list(zip(*(np.split(a, np.cumsum(sizes)[:-1]) for a in arrays), strict=True))
+
+
 def pair_rows(a, b, config, need, count, buckets: int) -> list[tuple[int, bytes]]:
     """Pairs of a bucket of keys, each once with its count and least need, dealt by a hash of the pair."""
     order = np.lexsort((config, b, a))
@@ -253,6 +285,7 @@ def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, t
         for batch in batches:
             for payload in batch.column(1):
                 key, cls, config, half = unpack(payload.as_buffer(), *ENTRIES)
+                config = config & ~LARGE
                 first = group_starts(key, config)
                 sizes = np.diff(np.append(first, len(key)))
                 lead = np.repeat(first, sizes)  # a group is sorted by class
@@ -282,9 +315,14 @@ def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, t
         order = np.argsort(node)
         node, label, n = node[order], known["label"].to_numpy()[order], known["n"].to_numpy()[order]
         bits = np.stack([known[c].to_numpy()[order] for c in sketch], axis=1)
-        rows = []
-        for payload in sent["payload"]:
-            home, key, cls, config, half = unpack(payload.as_buffer(), np.int32, *ENTRIES)
+        rows, parts = [], [unpack(payload.as_buffer(), np.int32, *ENTRIES) for payload in sent["payload"]]
+        place = np.concatenate([(p[0].astype(np.int64) << 32) + p[1] for p in parts])
+        spared = spare_entries(place, *(np.concatenate([p[k] for p in parts]) for k in (2, 3, 4)))
+        del place
+        for (home, key, cls, config, _), (keep, half) in zip(parts, cut_like(spared, [len(p[1]) for p in parts]), strict=True):
+            key, cls, config, half = key[keep], cls[keep], config[keep] & ~LARGE, half[keep]
+            if not len(key):
+                continue
             own, ref = np.unique(np.searchsorted(node, cls), return_inverse=True)  # every class is known
             rows.append((int(home[0]), pack(key, ref.astype(np.uint32), config, half, label[own], n[own], bits[own])))
         return in_rows(rows)
