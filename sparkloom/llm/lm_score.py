@@ -6,19 +6,17 @@ word make a unit. One head of causal self-attention, with a learned bias for eac
 unit; a unit's share of its class comes from counts, within a word from the counts after the unit before it. Texts are scored in overlapping windows: the first CONTEXT inputs of
 a window are there to be attended to, the others are scored, so that each unit is scored once.
 
-Classes of units follow the groups of documents that the units occur in, so that predicting the class takes in what kind of text
-the window shows. The model's probability of a word is a mixture: `share` times the predicted probability of its first
+Classes of units follow the sketches of the documents that the units occur in, so that predicting the class takes in what kind of
+text the window shows. The model's probability of a word is a mixture: a share times the predicted probability of its first
 unit's class times its part of that class's training words, which is 0 for unknown words, and the rest times the
-probability of its units. An end is predicted as a class of its own. The mixture's share is set on documents that the attention model wasn't
-trained on, leaving each word's own occurrence out of its count.
+probability of its units. An end is predicted as a class of its own.
 
-Unigram counts are taken over all training documents, in buckets of the words' hashes. Words of at least N / 2**18
-occurrences, which are 2**18 at most, are known to all tasks; the other words of a document are sent to the bucket that
-has their counts, and come back as sums. In the same pass units by the group
-of their document, words by first unit and pairs of units within words are counted over all training documents: classes
-of units, shares of classes and the words of each class come from these. The groups' centres, attention weights and the
-mixture's share are fitted on a sample, SAMPLE_DOCS training documents and more as the table grows. The pairs go to
-the driver and to all tasks, 16 bytes for each distinct one.
+Everything is learned from all training documents. All texts are cut in words and units once, and kept in parts. One pass
+counts words in buckets of their hashes, units, words by first unit, sketches of units' documents and pairs of units within
+words; each part is told its words' counts. From a few documents come the weights to start from; then every task takes them
+through all windows of its training documents, and the tasks' weights are averaged. Sums for all shares of the mixture are
+kept for each text; the share taken is the one under which all training words, each occurrence left out of its own counts,
+are likeliest. The pairs go to the driver and to all tasks, 20 bytes for each distinct one.
 
 Cases: a null or empty text is its end alone. Rows that share a doc_id give one row with the sums over them. Rows with a
 null doc_id are left out. Without training documents every word is unknown and the base is the same for all tokens. An
@@ -28,27 +26,32 @@ empty table gives an empty result. Extra columns are ignored. Words are told apa
 from __future__ import annotations
 
 import base64
+import functools
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_bucket, chunks, corpus_size, crc, crc_remainder, mix, pack, checkpointed, unpack
+from .common import bucket_count, by_bucket, checkpointed, chunks, corpus_size, crc, crc_remainder, expanded, mix, pack, ranges, squeezed, tidy, unpack
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SAMPLE_DOCS = 320
-CHECK_DOCS = 40
-MORE_DOCS = 512  # so many documents of the table give one more to draw windows from
+SAMPLE_DOCS, CHECK_DOCS = 320, 40  # about so many documents together give the weights that all training documents then start from
 WINDOW, CONTEXT = 16, 4  # inputs of a window, and those of them that are only attended to
 WIDTH, CLASSES, OWN = 8, 49, 1024
 GROUPS = 6  # groups of units by the documents that they occur in
+SKETCH = 8  # numbers that a document is told by, for these groups
+RATE = 0.005  # of the steps over all training documents
+BATCH = 384  # windows of a step
+SHARES = np.linspace(0.05, 0.95, 19)  # of the mixture; each is summed, the best one is taken
 PRIOR = 5.0  # occurrences that a unit's share of its class counts for, beside those after the unit before it
 BOUND = np.float32(60)  # of attention scores and of classes' logits
 CACHE = 200_000
 HELD = 1 << 21
+CUT_BYTES, PART_BYTES = 1 << 20, 4 << 20  # of text whose distinct words are held once, and of text whose words are counted as one
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,14 +63,42 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Seen:
     """What is counted over texts."""
 
-    units: np.ndarray  # occurrences of each unit by the group of their document
+    units: np.ndarray  # occurrences of each unit
     heads: np.ndarray  # words by their first unit
+    near: np.ndarray  # (unit, SKETCH): the sketches of the documents of a unit's occurrences, added up
     pairs: tuple[np.ndarray, np.ndarray]  # sorted keys and counts of units that follow each other in a word
 
-    def without(self, other: Seen) -> Seen:
-        keys, c = self.pairs
-        c = np.maximum(0, c - looked_up(*other.pairs, keys))
-        return Seen(np.maximum(0, self.units - other.units), np.maximum(0, self.heads - other.heads), (keys[c > 0], c[c > 0]))
+
+@dataclass
+class Cut:
+    """Documents cut in words and units: distinct words with their hashes and units, and which of them each word is."""
+
+    ids: np.ndarray
+    held: np.ndarray  # documents that are not learned from
+    words: np.ndarray  # words of each document
+    which: np.ndarray  # the place of each word among the distinct ones
+    hashes: np.ndarray
+    lengths: np.ndarray  # units of each distinct word
+    flat: np.ndarray  # these units, end to end
+
+    KINDS = (np.int64, np.bool_, np.int64, np.uint32, np.uint64, np.int32, np.int32)
+
+    def packed(self) -> bytes:
+        return squeezed(pack(*(a.astype(t, copy=False) for a, t in zip((self.ids, self.held, self.words, self.which, self.hashes, self.lengths, self.flat), self.KINDS, strict=True))))
+
+    @classmethod
+    def read(cls, blob) -> Cut:
+        return cls(*unpack(expanded(blob.as_buffer()), *cls.KINDS))
+
+    def training(self) -> Cut:
+        kept = ~self.held
+        return Cut(self.ids[kept], self.held[kept], self.words[kept], self.which[np.repeat(kept, self.words)], self.hashes, self.lengths, self.flat)
+
+    def inner(self) -> np.ndarray:
+        """Places of flat that aren't their word's first."""
+        inside = np.ones(len(self.flat), bool)
+        inside[np.cumsum(self.lengths) - self.lengths] = False
+        return np.flatnonzero(inside)
 
 
 @dataclass
@@ -77,30 +108,40 @@ class Model:
     inside: np.ndarray  # log10 of a unit's share of its class
     row: np.ndarray  # row of the embedding of each unit; the last row stands for the beginning
     weights: dict[str, np.ndarray] = field(default_factory=dict)
-    share: float = 0.7
     totals: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # training words by the class of their first unit
     # sorted keys and their logs: pairs of units that follow each other in a word, and (unit, class of the next)
     pairs: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
     after: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
-
-    def ready(self) -> None:
-        import tiktoken
-
-        # every word, a space before it, is one piece of the pattern, so merges never look beyond it
-        self.bpe = tiktoken.Encoding("units", pat_str=r" [^ ]*", mergeable_ranks=self.ranks, special_tokens={})
-        self.opens = np.zeros(max(self.ranks.values(), default=0) + 1, bool)
-        self.opens[[k for b, k in self.ranks.items() if b[:1] == b" "]] = True
+    # what leaving one occurrence out of the counts adds to the logs of units and of pairs
+    unit_less: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    pair_less: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def ready(self, cutting: bool = True) -> None:
+        if cutting:
+            import tiktoken
+
+            # every word, a space before it, is one piece of the pattern, so merges never look beyond it
+            self.bpe = tiktoken.Encoding("units", pat_str=r" [^ ]*", mergeable_ranks=self.ranks, special_tokens={})
+            self.opens = np.zeros(max(self.ranks.values(), default=0) + 1, bool)
+            self.opens[[k for b, k in self.ranks.items() if b[:1] == b" "]] = True
         self.end, self.begin = len(self.cls) - 1, len(self.weights["embed"]) - 1
         self.known: dict[int, int] = {}
         self.store: list[np.ndarray] = []
         w = self.weights
-        self.q, self.k, self.v = (np.ascontiguousarray(w["embed"] @ w[n], np.float32) for n in ("wq", "wk", "wv"))
-        self.q *= np.float32(1 / math.sqrt(WIDTH))
+        # the last row is that of places outside of a document: its key's score counts for nothing, as the column of ones is 0 there
+        table = np.concatenate([w["embed"], np.zeros((1, WIDTH), np.float32)]).astype(np.float32)
+        one = np.append(np.ones(len(table) - 1), 0).astype(np.float32)[:, None]
+        self.q = np.concatenate([table @ w["wq"] * np.float32(1 / math.sqrt(WIDTH)), table], axis=1).astype(np.float32)
+        self.k = (table @ w["wk"]).astype(np.float32)
+        self.v = np.concatenate([one, table @ w["wv"]], axis=1).astype(np.float32)
         self.bias = distance_bias(w["bias"])
+        most = lambda a: float(np.linalg.norm(a, axis=1).max(initial=0))
+        self.low_scores = most(self.q[:, :WIDTH]) * most(self.k) + float(np.abs(w["bias"]).max()) < BOUND
+        self.low_logits = "out" in w and (most(self.v[:, 1:]) + most(table)) * most(w["out"].T) + float(w["out_bias"].max()) < BOUND
 
     def rest(self) -> None:
         """Forgets what ready() made, before the model is sent."""
-        for name in ("bpe", "opens", "known", "store", "q", "k", "v", "bias"):
+        for name in ("bpe", "opens", "known", "store", "q", "k", "v", "bias", "low_scores", "low_logits"):
             self.__dict__.pop(name, None)
 
     def units_of(self, words: list[bytes]) -> list[np.ndarray]:
@@ -116,25 +157,34 @@ class Model:
 
     def inner_logs(self, before: np.ndarray, units: np.ndarray) -> np.ndarray:
         """What knowing the unit before, in the same word, adds to log10 of a unit's share of its class."""
+        return self.inner_both(before, units)[0]
+
+    def inner_both(self, before: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """inner_logs, and what leaving one occurrence of the pair out adds to them."""
         before = before.astype(np.int64)
         unseen = looked_up(*self.after, before * CLASSES + self.cls[units])
         keys, values = self.pairs
         if not len(keys):
-            return unseen
+            return unseen, np.zeros(len(unseen))
         asked = before * len(self.cls) + units
         at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return np.where(keys[at] == asked, values[at], unseen)
+        there = keys[at] == asked
+        return np.where(there, values[at], unseen), np.where(there, self.pair_less[at], 0)
 
     def learn(self, seen: Seen) -> None:
         """Learns each unit's share of its class, and inner_logs: share * PRIOR and the count, over PRIOR and the class's count."""
-        smooth = seen.units.sum(axis=0) + 0.05
-        self.inside = np.log10(smooth / np.bincount(self.cls, smooth, CLASSES)[self.cls]).astype(np.float32)
+        smooth = seen.units + 0.05
+        mass = np.bincount(self.cls, smooth, CLASSES)[self.cls]
+        self.inside = np.log10(smooth / mass).astype(np.float32)
+        self.unit_less = np.where(seen.units > 0, np.log10(np.maximum(smooth - 1, 0.05) / np.maximum(mass - 1, 0.05)) - self.inside, 0).astype(np.float32)
         pairs, c = seen.pairs
         a, b = pairs // len(self.cls), pairs % len(self.cls)
         classes, at = np.unique(a * CLASSES + self.cls[b], return_inverse=True)
         total = np.bincount(at, c, len(classes))
         self.after = classes, np.log10(PRIOR / (total + PRIOR))
-        self.pairs = pairs, np.log10((c / 10.0 ** self.inside[b].astype(np.float64) + PRIOR) / (total[at] + PRIOR))
+        share = 10.0 ** self.inside[b].astype(np.float64)
+        self.pairs = pairs, np.log10((c / share + PRIOR) / (total[at] + PRIOR))
+        self.pair_less = (np.log10(((c - 1) / share + PRIOR) / (total[at] - 1 + PRIOR)) - self.pairs[1]).astype(np.float32)
 
 
 def distance_bias(bias: np.ndarray) -> np.ndarray:
@@ -143,99 +193,173 @@ def distance_bias(bias: np.ndarray) -> np.ndarray:
     return np.where(key <= query, bias[np.clip(query - key, 0, WINDOW - 1)], -1e9).astype(np.float32)
 
 
-def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For streams laid end to end: each window's place of its first scored input, and the scored places of each."""
+def windows_of(rows: np.ndarray, sizes: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For streams laid end to end: (rows at all places, windows, places). Every document gets CONTEXT places outside of it
+    before its first unit and as many more after its last one as fill its windows, so that window k is places
+    k * (WINDOW - CONTEXT) and on, of which the last WINDOW - CONTEXT are scored; places tells where each unit is."""
     new = WINDOW - CONTEXT
-    counts = -(-sizes // new)
-    start = np.cumsum(sizes) - sizes
-    which = np.repeat(np.arange(len(sizes)), counts)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = start[which] + k * new
-    return np.stack([first, start[which], start[which] + sizes[which]], axis=1), k
+    counts = -(-(sizes + CONTEXT) // new)
+    start = (np.cumsum(counts) - counts) * new
+    places = ranges(start + CONTEXT, sizes)
+    laid = np.full(int(counts.sum()) * new + CONTEXT, outside, np.int16)
+    laid[places] = rows
+    return laid, np.lib.stride_tricks.sliding_window_view(laid, WINDOW)[::new], places
+
+
+def inputs_of(model: Model, units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The row that each unit of streams laid end to end is predicted from: that of the unit before it, or the beginning's."""
+    rows = np.empty(len(units), np.int16)
+    rows[1:] = model.row[units[:-1]]
+    rows[np.cumsum(sizes) - sizes] = model.begin
+    return rows
 
 
 def unit_logs(model: Model, units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probability of each unit of streams laid end to end, each closed by the end unit."""
-    inputs = np.empty(len(units), np.int32)
-    inputs[1:] = model.row[units[:-1]]
-    inputs[np.cumsum(sizes) - sizes] = model.begin
-    spans, _ = windows_of(sizes)
-    out = np.empty(len(units), np.float32)
-    w = model.weights
-    offset = np.arange(-CONTEXT, WINDOW - CONTEXT)
-    target = model.cls[units]
-    for at in range(0, len(spans), 4096):
-        first, low, high = spans[at : at + 4096].T
-        place = first[:, None] + offset
-        there = (place >= low[:, None]) & (place < high[:, None])
-        ids = inputs[np.where(there, place, first[:, None])]
-        s = np.matmul(model.q[ids[:, CONTEXT:]], model.k[ids].transpose(0, 2, 1))
+    laid, windows, places = windows_of(inputs_of(model, units, sizes), sizes, model.begin + 1)
+    w, new, many = model.weights, WINDOW - CONTEXT, 512
+    target = np.zeros(len(laid), np.int64)
+    target[places] = model.cls[units]
+    out = np.empty(len(laid), np.float32)
+    z, ones, first = np.empty((many * new, CLASSES), np.float32), np.ones(CLASSES, np.float32), np.arange(many * new) * CLASSES
+    for at in range(0, len(windows), many):
+        some = windows[at : at + many]
+        some = some.astype(np.intp)
+        part = slice(at * new + CONTEXT, (at + len(some)) * new + CONTEXT)
+        q = model.q.take(laid[part], axis=0).reshape(len(some), new, -1)
+        s = np.matmul(q[:, :, :WIDTH], np.ascontiguousarray(model.k.take(some, axis=0).transpose(0, 2, 1)))
+        if not model.low_scores:
+            np.clip(s, -BOUND, BOUND, out=s)
         s += model.bias
-        s += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
-        # every query sees itself, so no sum is 0; with bounded scores nothing overflows
-        np.minimum(s, BOUND, out=s)
         np.exp(s, out=s)
-        h = np.matmul(s, model.v[ids])
-        h /= (s @ np.ones(WINDOW, np.float32))[:, :, None]
-        h += w["embed"][ids[:, CONTEXT:]]
-        scored = there[:, CONTEXT:]
-        h, place = h[scored], place[:, CONTEXT:][scored]
-        z = h @ w["out"]
-        z += w["out_bias"]
-        np.clip(z, -BOUND, BOUND, out=z)
-        t = target[place]
-        picked = z[np.arange(len(t)), t]
-        np.exp(z, out=z)
-        out[place] = (picked - np.log(z @ np.ones(CLASSES, np.float32))) * np.float32(1 / math.log(10))
-    return out + model.inside[units]
-
-
-def document_groups(streams: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, centres): the place of each frequent unit or -1, and the centres of clusters of documents by their frequent units."""
-    place = np.full(n, -1)
-    if len(streams) < GROUPS:
-        return place, np.zeros((1, 0))
-    frequent = np.argsort(-np.bincount(np.concatenate(streams), minlength=n), kind="stable")[:OWN]
-    place[frequent] = np.arange(len(frequent))
-    x = np.zeros((len(streams), len(frequent)))
-    for row, s in zip(x, streams, strict=True):
-        at = place[s]
-        row += np.sqrt(np.bincount(at[at >= 0], minlength=len(frequent)))
-    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
-    centres = x[[0]]
-    for _ in range(GROUPS - 1):  # the document farthest from all centres is the next one
-        centres = np.concatenate([centres, x[[(x @ centres.T).max(axis=1).argmin()]]])
+        h = np.matmul(s, model.v.take(some, axis=0))
+        # every query of a document sees itself, so that only those outside of it have no sum
+        h = h[:, :, 1:] / np.maximum(h[:, :, :1], np.float32(1e-30))
+        h += q[:, :, WIDTH:]
+        n = len(some) * new
+        np.matmul(h.reshape(n, WIDTH), w["out"], out=z[:n])
+        z[:n] += w["out_bias"]
+        if not model.low_logits:
+            np.clip(z[:n], -BOUND, BOUND, out=z[:n])
+        picked = z.ravel().take(first[:n] + target[part])
+        np.exp(z[:n], out=z[:n])
+        out[part] = (picked - np.log(z[:n] @ ones)) * np.float32(1 / math.log(10))
+    return out[places] + model.inside[units]
+
+
+class Descent:
+    """Adam on the attention model's weights."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.w = {k: v.copy() for k, v in weights.items()}
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
+        self.steps = 0
+
+    def step(self, windows: np.ndarray, goal: np.ndarray, rate: float) -> None:
+        """One step on (window, WINDOW) rows and the (window, WINDOW - CONTEXT) classes to predict, -1 where there is none."""
+        w, many, new = self.w, len(windows), WINDOW - CONTEXT
+        scale = np.float32(1 / math.sqrt(WIDTH))
+        e = np.concatenate([w["embed"], np.zeros((1, WIDTH), np.float32)])
+        asks, keys, values = e @ w["wq"] * scale, e @ w["wk"], e @ w["wv"]
+        windows = windows.astype(np.intp)
+        asking = np.ascontiguousarray(windows[:, CONTEXT:])
+        q, k, v = asks.take(asking, axis=0), keys.take(windows, axis=0), values.take(windows, axis=0)
+        s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        most = lambda a: float(np.linalg.norm(a, axis=1).max())
+        if most(asks) * most(keys) > BOUND:
+            np.clip(s, -BOUND, BOUND, out=s)
+        s += distance_bias(w["bias"])
+        np.exp(s, out=s)
+        gone = windows == len(e) - 1
+        edge = np.flatnonzero(gone.any(axis=1))
+        s[edge] *= ~gone[edge][:, None, :]
+        s /= np.maximum(s @ np.ones(WINDOW, np.float32), np.float32(1e-30))[:, :, None]
+        seen = np.matmul(s, v)
+        h = np.ones((many * new, WIDTH + 1), np.float32)  # the last column stands for the bias
+        np.add(seen, e.take(asking, axis=0), out=h.reshape(many, new, -1)[:, :, :WIDTH])
+        p = h @ np.concatenate([w["out"], w["out_bias"][None, :]])
+        if (most(values) + most(e)) * most(w["out"].T) + float(w["out_bias"].max()) > BOUND:
+            np.minimum(p, BOUND, out=p)
+        np.exp(p, out=p)
+        goal = goal.reshape(-1)
+        real = np.flatnonzero(goal >= 0)
+        weight = np.zeros(len(goal), np.float32)
+        weight[real] = 1 / max(1, len(real))
+        p *= (weight / (p @ np.ones(CLASSES, np.float32)))[:, None]
+        p[real, goal[real]] -= weight[real]
+        dh = (p @ w["out"].T).reshape(many, new, WIDTH)
+        ds = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
+        ds -= (dh * seen).reshape(-1, WIDTH).dot(np.ones(WIDTH, np.float32)).reshape(many, new, 1)
+        ds *= s
+        at, back, out = asking.reshape(-1), ds.transpose(0, 2, 1), h.T @ p
+        dq, direct = added(at, np.matmul(ds, k), len(e)) * scale, added(at, dh, len(e))
+        at = windows.reshape(-1)
+        dk, dv = added(at, np.matmul(back, q), len(e)), added(at, np.matmul(s.transpose(0, 2, 1), dh), len(e))
+        query, key = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
+        grads = {
+            "embed": (direct + dq @ w["wq"].T + dk @ w["wk"].T + dv @ w["wv"].T)[:-1], "wq": e.T @ dq, "wk": e.T @ dk, "wv": e.T @ dv,
+            "bias": np.bincount(np.clip(query - key, 0, WINDOW - 1).reshape(-1), (ds.sum(axis=0) * (key <= query)).reshape(-1), WINDOW), "out": out[:-1], "out_bias": out[-1],
+        }
+        self.steps += 1
+        for name, g in grads.items():
+            a, b = self.moment[name]
+            a += (g - a) * np.float32(0.1)
+            b += (g * g - b) * np.float32(0.01)
+            w[name] -= (rate * (a / (1 - 0.9**self.steps)) / (np.sqrt(b / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+
+
+def added(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of values for each place at[i] of n."""
+    columns = np.ascontiguousarray(values.reshape(-1, values.shape[-1]).T, np.float64)
+    return np.stack([np.bincount(at, c, n) for c in columns], axis=1).astype(np.float32)
+
+
+@functools.lru_cache(1)
+def signs(n: int) -> np.ndarray:
+    return (np.random.default_rng(5).integers(0, 2, (n, SKETCH)) * 2 - 1).astype(np.int8)
+
+
+def sketched(n: int, units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(unit, 1 + SKETCH): for streams laid end to end each unit's occurrences, and the sketches of their documents, added up.
+
+    A document's sketch is the direction, in whole numbers, of the sum of fixed random signs of its units: documents of
+    the same kind of text have much the same one. Whole numbers add up to the same in any order."""
+    if not len(sizes):
+        return np.zeros((n, 1 + SKETCH), np.int64)
+    x = np.add.reduceat(signs(n).take(units, axis=0), np.cumsum(sizes) - sizes, axis=0, dtype=np.int64).T  # every document has its end
+    x = np.rint(127 * x / np.maximum(1e-9, np.linalg.norm(x, axis=0)))
+    return np.stack([np.bincount(units, minlength=n), *(np.bincount(units, np.repeat(row, sizes), n) for row in x)], axis=1).astype(np.int64)
+
+
+def unit_groups(seen: Seen) -> np.ndarray:
+    """The group of each unit: clusters of units by the mean sketch of the documents that they occur in."""
+    n = len(seen.units)
+    total = seen.units.sum()
+    if not total:
+        return np.zeros(n, np.int64)
+    x = (seen.near + 5 * seen.near.sum(axis=0) / total) / (seen.units[:, None] + 5)
+    frequent = np.argsort(-seen.units, kind="stable")[:OWN]
+    frequent = frequent[seen.units[frequent] > 0]
+    away = lambda a, centres: np.stack([((a - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    centres = x[frequent[:1]]
+    for _ in range(GROUPS - 1):  # the frequent unit farthest from all centres is the next one
+        centres = np.concatenate([centres, x[frequent[[away(x[frequent], centres).min(axis=1).argmax()]]]])
     for _ in range(12):
-        near = (x @ centres.T).argmax(axis=1)
-        centres = np.stack([x[near == g].sum(axis=0) if (near == g).any() else centres[g] for g in range(GROUPS)])
-        centres /= np.maximum(1e-9, np.linalg.norm(centres, axis=1, keepdims=True))
-    return place, centres
-
-
-def grouped_units(groups: tuple[np.ndarray, np.ndarray], units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(group, unit): occurrences in streams laid end to end, by the nearest centre of their document."""
-    place, centres = groups
-    n, width = len(place), centres.shape[1]
-    near = np.zeros(len(sizes), np.int64)
-    ends = np.cumsum(sizes)
-    for at in range(0, len(sizes) if width else 0, 512):
-        some = sizes[at : at + 512]
-        doc = np.repeat(np.arange(len(some)), some)
-        spot = place[units[ends[at] - sizes[at] : ends[at + len(some) - 1]]]
-        x = np.bincount(doc[spot >= 0] * width + spot[spot >= 0], minlength=len(some) * width).reshape(-1, width)
-        near[at : at + 512] = (np.sqrt(x) @ centres.T).argmax(axis=1)
-    return np.bincount(np.repeat(near, sizes) * n + units, minlength=GROUPS * n).reshape(GROUPS, n)
-
-
-def seen_in(groups: tuple[np.ndarray, np.ndarray], streams: list[np.ndarray]) -> Seen:
+        near = away(x, centres).argmin(axis=1)
+        mass = np.bincount(near, seen.units, GROUPS)
+        sums = np.stack([np.bincount(near, seen.units * x[:, k], GROUPS) for k in range(x.shape[1])], axis=1)
+        centres = np.where(mass[:, None] > 0, sums / np.maximum(1, mass)[:, None], centres)
+    return away(x, centres).argmin(axis=1)
+
+
+def seen_in(n: int, streams: list[np.ndarray]) -> Seen:
     """What is counted over the streams of a few texts."""
-    n = len(groups[0])
     units = np.concatenate(streams).astype(np.int64) if streams else np.zeros(0, np.int64)
     within = (units[:-1] % 2 == 0) & (units[:-1] != n - 1)
     opens = np.append(True, ~within)[: len(units)] & (units != n - 1)
     inner = np.flatnonzero(within)
     sizes = np.array([len(s) for s in streams], np.int64)
-    return Seen(grouped_units(groups, units, sizes), np.bincount(units[opens], minlength=n), np.unique(units[inner] * n + units[inner + 1], return_counts=True))
+    return Seen(np.bincount(units, minlength=n), np.bincount(units[opens], minlength=n), sketched(n, units, sizes)[:, 1:], np.unique(units[inner] * n + units[inner + 1], return_counts=True))
 
 
 def blank(ranks: dict[bytes, int]) -> Model:
@@ -248,7 +372,7 @@ def streams_of(model: Model, texts: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate([*model.units_of(text.split()), np.array([model.end], np.int32)]) for text in texts]
 
 
-def fit(ranks: dict[bytes, int], texts: list[bytes], steps: int = 500, batch: int = 384, rate: float = 0.01, seed: int = 11, seen: Seen | None = None) -> Model:
+def fit(ranks: dict[bytes, int], texts: list[bytes], steps: int = 500, batch: int = BATCH, rate: float = 0.01, seed: int = 11, seen: Seen | None = None) -> Model:
     """Unit classes and shares from what is counted (over the texts, unless given), then the attention model by Adam on random windows of the texts."""
     rng = np.random.default_rng(seed)
     model = blank(ranks)
@@ -256,13 +380,12 @@ def fit(ranks: dict[bytes, int], texts: list[bytes], steps: int = 500, batch: in
     model.ready()
     streams = streams_of(model, texts)
     if seen is None:
-        seen = seen_in(document_groups(streams, n), streams)
-    counts = seen.units.sum(axis=0)
+        seen = seen_in(n, streams)
+    counts = seen.units
     order = np.argsort(-counts, kind="stable")
     # the end has its own class; each group of units that occur in the same documents is cut in classes of equal mass
     model.cls[:] = 0
-    share = (seen.units + 0.01) / (seen.units.sum(axis=1, keepdims=True) + 0.01 * n)
-    group = share.argmax(axis=0) if (seen.units[1:] > 0).any() else np.zeros(n, np.int64)
+    group = unit_groups(seen)
     each = (CLASSES - 1) // GROUPS
     for g in range(GROUPS):
         mine = order[(group[order] == g) & (order != n - 1)]
@@ -282,181 +405,217 @@ def fit(ranks: dict[bytes, int], texts: list[bytes], steps: int = 500, batch: in
     if not streams:
         return model
     units, sizes = np.concatenate(streams), np.array([len(s) for s in streams])
-    inputs = np.empty(len(units), np.int32)
-    inputs[1:] = model.row[units[:-1]]
-    inputs[np.cumsum(sizes) - sizes] = model.begin
-    spans, _ = windows_of(sizes)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
-    offset = np.arange(-CONTEXT, WINDOW - CONTEXT)
-    query, key = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-    far = np.clip(query - key, 0, WINDOW - 1)
-    scale = np.float32(1 / math.sqrt(WIDTH))
+    windows, goals = lessons(model, units, sizes)
+    descent = Descent(model.weights)
     for step in range(1, steps + 1):
-        w = model.weights
-        first, low, high = spans[rng.integers(0, len(spans), batch)].T
-        place = first[:, None] + offset
-        there = (place >= low[:, None]) & (place < high[:, None])
-        ids = inputs[np.where(there, place, first[:, None])]
-        x = w["embed"][ids]
-        xq = x[:, CONTEXT:]
-        q, k, v = xq @ w["wq"], x @ w["wk"], x @ w["wv"]
-        s = q @ k.transpose(0, 2, 1) * scale + distance_bias(w["bias"]) + np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        s /= s.sum(axis=2, keepdims=True)
-        h = s @ v + xq
-        z = h @ w["out"] + w["out_bias"]
-        p = np.exp(z - z.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        scored = there[:, CONTEXT:]
-        goal = model.cls[units[np.where(scored, place[:, CONTEXT:], first[:, None])]]
-        np.put_along_axis(p, goal[..., None], np.take_along_axis(p, goal[..., None], 2) - 1, 2)
-        p *= scored[..., None] / np.float32(scored.sum())
-        dh = p @ w["out"].T
-        ds = dh @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, s.transpose(0, 2, 1) @ dh
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        dx = dk @ w["wk"].T + dv @ w["wv"].T
-        dx[:, CONTEXT:] += dh + dq @ w["wq"].T
-        de = np.zeros_like(w["embed"])
-        np.add.at(de, ids.reshape(-1), flat(dx))
-        grads = {
-            "embed": de, "wq": flat(xq).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv),
-            "bias": np.bincount(far.reshape(-1), (ds.sum(axis=0) * (key <= query)).reshape(-1), WINDOW), "out": flat(h).T @ flat(p), "out_bias": flat(p).sum(axis=0),
-        }
-        lr = rate * (1 - 0.9 * step / steps)
-        for name, g in grads.items():
-            a, b = moment[name]
-            a += (g - a) * np.float32(0.1)
-            b += (g * g - b) * np.float32(0.01)
-            w[name] -= (lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        some = rng.integers(0, len(windows), batch)
+        descent.step(windows[some], goals[some], rate * (1 - 0.9 * step / steps))
+    model.weights = descent.w
     model.ready()
     return model
 
 
-def distinct_units(model: Model, chunk):
-    """Of a chunk's distinct words the units; and what Chunk.words gives, with each word's place among the distinct ones."""
+def lessons(model: Model, units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, goals) of streams laid end to end, for Descent."""
+    laid, windows, places = windows_of(inputs_of(model, units, sizes), sizes, model.begin + 1)
+    goals = np.full(len(laid) - CONTEXT, -1, np.int64)
+    goals[places - CONTEXT] = model.cls[units]
+    return windows, goals.reshape(len(windows), -1)
+
+
+def cut(model: Model, chunk, fold: int) -> Cut:
+    """A chunk's documents in words and units."""
     hashes, lo, hi, first, last = chunk.words(fold=True)
-    distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
     if len(model.known) > CACHE:
         model.known, model.store = {}, []
-    distinct = distinct.tolist()
-    new = [k for k, h in enumerate(distinct) if h not in model.known]
+    asked = distinct.tolist()
+    new = [k for k, h in enumerate(asked) if h not in model.known]
     folded = bytes(np.where((chunk.buf >= 65) & (chunk.buf <= 90), chunk.buf + np.uint8(32), chunk.buf)) if new else b""
     for k, units in zip(new, model.units_of([folded[first[at] : last[at]] for at in where[new].tolist()]), strict=True):
-        model.known[distinct[k]] = len(model.store)
+        model.known[asked[k]] = len(model.store)
         model.store.append(units)
-    return [model.store[model.known[h]] for h in distinct], hashes, lo, hi, inverse
-
-
-def laid(model: Model, units, lo: np.ndarray, hi: np.ndarray, inverse: np.ndarray):
-    """The units of a chunk's documents end to end, each closed by the end unit; their sizes and where words' units are;
-    the distinct words' units end to end, where each begins and how many it has; each word's place among all words' units."""
-    lengths = np.fromiter((len(u) for u in units), np.int64, len(units))
-    flat = np.concatenate(units) if units else np.zeros(0, np.int32)
-    begin = np.cumsum(lengths) - lengths
-    per_word = lengths[inverse]
-    # the stream: the units of a document's words, then its end
-    sums = np.concatenate(([0], np.cumsum(per_word)))
-    sizes = sums[hi] - sums[lo] + 1
+    units = [model.store[model.known[h]] for h in asked]
+    lengths = np.fromiter((len(u) for u in units), np.int32, len(units))
+    held = np.fromiter((crc(i) % fold == 0 for i in chunk.ids.tolist()), bool, len(chunk.ids))
+    return Cut(chunk.ids, held, hi - lo, which.astype(np.uint32), distinct, lengths, np.concatenate(units) if units else np.zeros(0, np.int32))
+
+
+def cut_table(docs: DataFrame, fold: int, shared) -> DataFrame:
+    """(part, payload): all documents as packed Cuts, some in each part, so that words are cut in units once. shared has a blank model."""
+
+    def run(batches):
+        model = shared.value
+        model.ready()
+        first, parts, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def send():
+            return pa.RecordBatch.from_arrays([pa.array([first + parts], pa.int64()), pa.array([held], pa.list_(pa.binary()))], names=["part", "payload"])
+
+        for chunk in chunks(batches, CUT_BYTES):
+            held.append(cut(model, chunk, fold).packed())
+            size += len(chunk.buf)
+            if size >= PART_BYTES:
+                yield send()
+                parts, held, size = parts + 1, [], 0
+        if held:
+            yield send()
+        held = []
+        model.rest()  # the words known so far would stay with the worker
+        tidy()
+
+    return docs.mapInArrow(run, "part long, payload array<binary>")
+
+
+def cuts(batches):
+    """The Cuts of each part of a cut_table, with its number."""
+    for batch in batches:
+        for part, blobs in zip(batch.column(0), batch.column(1), strict=True):
+            yield part.as_py(), (Cut.read(blob) for blob in blobs.values)
+    tidy()
+
+
+def laid(end: int, docs: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of documents end to end, each closed by the end unit; the documents' sizes; which units are words'; the
+    place of each word's units among all words' units, and the place past the last."""
+    per_word = docs.lengths[docs.which]
+    sums = np.concatenate(([0], np.cumsum(per_word, dtype=np.int64)))
+    hi = np.cumsum(docs.words)
+    sizes = sums[hi] - sums[hi - docs.words] + 1
     ends = np.cumsum(sizes) - 1
     stream = np.empty(int(sizes.sum()), np.int64)
     body = np.ones(len(stream), bool)
     body[ends] = False
-    stream[ends] = model.end
-    from .common import ranges
-
-    stream[body] = flat[ranges(begin[inverse], per_word)]
-    return stream, sizes, body, flat, begin, lengths, sums
-
-
-def word_logs(model: Model, chunk):
-    """Of each word of a chunk its hash, log10 of its units' probability, and log10 of what one of its occurrences in
-    training is worth: the probability of its first unit's class over that class's training words; of each document its
-    number of words and log10 of its end's probability."""
-    units, hashes, lo, hi, inverse = distinct_units(model, chunk)
-    stream, sizes, body, flat, begin, lengths, sums = laid(model, units, lo, hi, inverse)
-    words, ends = hi - lo, np.cumsum(sizes) - 1
+    stream[ends] = end
+    begin = np.cumsum(docs.lengths, dtype=np.int64) - docs.lengths
+    stream[body] = docs.flat[ranges(begin[docs.which], per_word)]
+    return stream, sizes, body, sums
+
+
+def word_logs(model: Model, docs: Cut):
+    """Of each word log10 of its units' probability; log10 of what one of its occurrences in training is worth (the
+    probability of its first unit's class over that class's training words) over that probability; and what leaving one
+    occurrence of its units out of the counts adds to log10 of their probability. Of each document log10 of its end's
+    probability."""
+    stream, sizes, body, sums = laid(model.end, docs)
     logs = unit_logs(model, stream, sizes)
-    own = np.add.reduceat(logs[body], sums[:-1]).astype(np.float64) if len(hashes) else np.zeros(0)
+    ends = logs[np.cumsum(sizes) - 1].astype(np.float64)
+    if not len(docs.which):
+        return np.zeros(0), np.zeros(0), np.zeros(0), ends
+    own = np.add.reduceat(logs[body], sums[:-1]).astype(np.float64)
     opening = np.flatnonzero(body)[sums[:-1]]
     heads = stream[opening]
     worth = logs[opening] - model.inside[heads] - np.log10(np.maximum(1, model.totals[model.cls[heads]]))
-    inner = np.ones(len(flat), bool)
-    inner[begin] = False
-    inner = np.flatnonzero(inner)
-    own += np.bincount(np.repeat(np.arange(len(units)), lengths)[inner], model.inner_logs(flat[inner - 1], flat[inner]), len(units))[inverse]
-    return hashes, own, worth, words, logs[ends].astype(np.float64)
+    inner = docs.inner()
+    word = np.repeat(np.arange(len(docs.lengths)), docs.lengths)
+    more, pair_less = model.inner_both(docs.flat[inner - 1], docs.flat[inner])
+    less = np.bincount(word, model.unit_less[docs.flat], len(docs.lengths)) + np.bincount(word[inner], pair_less, len(docs.lengths))
+    own += np.bincount(word[inner], more, len(docs.lengths))[docs.which]
+    return own, worth - own, less[docs.which], ends
 
 
-def counts_table(docs: DataFrame, buckets: int, shared) -> DataFrame:
-    """(bucket, payload, n, v): word hashes and counts of a bucket, packed, with their total and number.
+def counts_table(table: DataFrame, buckets: int, n: int, end: int) -> DataFrame:
+    """(bucket, part, payload, n, v) over a cut_table: for each part and bucket of word hashes how often the part's words of
+    that bucket, in the order of their hashes, occur in all training documents. A bucket's row of part -1 has their total
+    and number.
 
-    Buckets from `buckets` on have, in the same form, what Seen holds: pairs of units by their keys, which are below n * n
-    for n units, then units by group and words by first unit. shared has a blank model and document_groups.
+    Of n units, the last buckets have what Seen holds: from `buckets` on keys and counts of pairs, and from 2 * buckets on
+    units with their row of words by first unit, occurrences and added sketches.
     """
+    wide = 2 + SKETCH
 
     def partial(batches):
-        model, groups = shared.value
-        model.ready()
-        n = len(model.cls)
-        held, pairs, size = [], [], 0
-        units_seen, heads_seen = np.zeros((GROUPS, n), np.int64), np.zeros(n, np.int64)
-
-        def dealt(parts, first, hashed):
-            u, inv = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
-            total = np.bincount(inv, np.concatenate([b for _, b in parts])).astype(np.uint32)
-            return [(first + b, pack(u[at], total[at])) for b, at in by_bucket((hashed(u) % np.uint64(buckets)).astype(np.int64))]
-
-        def send(rows):
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "payload"])
-
-        for chunk in chunks(batches):
-            units, hashes, lo, hi, inverse = distinct_units(model, chunk)
-            u, c = np.empty(len(units), np.uint64), np.bincount(inverse, minlength=len(units))
-            u[inverse] = hashes
-            stream, sizes, _, flat, begin, lengths, _ = laid(model, units, lo, hi, inverse)
-            units_seen += grouped_units(groups, stream, sizes)
-            heads_seen += np.bincount(flat[begin], c, n).astype(np.int64)
-            inner = np.ones(len(flat), bool)
-            inner[begin] = False
-            inner = np.flatnonzero(inner)
-            held.append((u, c))
-            pairs.append((flat[inner - 1].astype(np.uint64) * np.uint64(n) + flat[inner].astype(np.uint64), np.repeat(c, lengths)[inner]))
-            size += len(u) + len(inner)
+        pairs, size = [], 0
+        seen = np.zeros((n, wide), np.int64)
+
+        def send(rows, part=-1):
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "part", "payload"])
+
+        def dealt():
+            u, inv = np.unique(np.concatenate([a for a, _ in pairs]), return_inverse=True)
+            total = np.bincount(inv, np.concatenate([b for _, b in pairs])).astype(np.uint32)
+            return [(buckets + b, pack(u[at], total[at])) for b, at in by_bucket((mix(u.copy()) % np.uint64(buckets)).astype(np.int64))]
+
+        for part, some in cuts(batches):
+            words = []
+            for docs in some:
+                docs = docs.training()
+                c = np.bincount(docs.which, minlength=len(docs.hashes))
+                words.append((docs.hashes, c))
+                if not len(docs.ids):
+                    continue
+                begin = np.cumsum(docs.lengths, dtype=np.int64) - docs.lengths
+                stream, sizes, _, _ = laid(end, docs)
+                seen[:, 0] += np.bincount(docs.flat[begin], c, n).astype(np.int64)
+                seen[:, 1:] += sketched(n, stream, sizes)
+                inner = docs.inner()
+                often = np.repeat(c, docs.lengths)[inner]
+                pairs.append(((docs.flat[inner - 1].astype(np.uint64) * np.uint64(n) + docs.flat[inner].astype(np.uint64))[often > 0], often[often > 0]))
+                size += len(pairs[-1][0])
+            u, inv = np.unique(np.concatenate([h for h, _ in words]), return_inverse=True)
+            total = np.bincount(inv, np.concatenate([c for _, c in words]), len(u)).astype(np.uint32)
+            yield send([(b, pack(u[at], total[at])) for b, at in by_bucket((u % np.uint64(buckets)).astype(np.int64))], part)
             if size >= HELD:
-                yield send(dealt(held, 0, lambda u: u) + dealt(pairs, buckets, mix))
-                held, pairs, size = [], [], 0
-        counts = np.concatenate([units_seen.reshape(-1), heads_seen])
-        some = np.flatnonzero(counts)
-        pairs.append((some.astype(np.uint64) + np.uint64(n * n), counts[some]))
+                yield send(dealt())
+                pairs, size = [], 0
+        if size:
+            yield send(dealt())
+        some = np.flatnonzero(seen[:, 1])
         if len(some):
-            yield send((dealt(held, 0, lambda u: u) if held else []) + dealt(pairs, buckets, mix))
-
-    def merge(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_buffer(), np.uint64, np.uint32) for b in table["payload"]]
-        u, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        c = np.bincount(inv, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "payload": pa.array([pack(u, c)], pa.binary()), "n": pa.array([int(c.sum())], pa.int64()), "v": pa.array([len(u)], pa.int64())})
-
-    return docs.mapInArrow(partial, "bucket int, payload binary").groupBy("bucket").applyInArrow(merge, "bucket int, payload binary, n long, v long")
-
-
-def chosen(counts: DataFrame, pick) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts that pick(hashes, counts) chooses, brought to the driver; pick bounds their number."""
+            yield send([(2 * buckets + b, pack(some[at], seen[some[at]])) for b, at in by_bucket(some % buckets)])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        bucket, asked = rows["bucket"][0].as_py(), []
+        if bucket >= 2 * buckets:
+            got = [unpack(b.as_buffer(), np.int64, np.int64) for b in rows["payload"]]
+            u, inv = np.unique(np.concatenate([p[0] for p in got]), return_inverse=True)
+            total = np.zeros((len(u), wide), np.int64)
+            np.add.at(total, inv, np.concatenate([p[1].reshape(-1, wide) for p in got]))
+            whole, c = pack(u, total), total[:, 1]
+        else:
+            got = [unpack(b.as_buffer(), np.uint64, np.uint32) for b in rows["payload"]]
+            u, inv = np.unique(np.concatenate([p[0] for p in got]), return_inverse=True)
+            c = np.bincount(inv, np.concatenate([p[1] for p in got])).astype(np.int64)
+            whole = pack(u, c) if bucket >= buckets else b""
+            if bucket < buckets:
+                cuts_at = np.cumsum([len(p[0]) for p in got])[:-1]
+                asked = [squeezed(pack(x)) for x in np.split(c[inv], cuts_at)]
+        parts = [-1, *(rows["part"].to_pylist() if asked else [])]
+        zeros = [0] * len(asked)
+        return pa.table({"bucket": pa.array([bucket] * len(parts), pa.int32()), "part": pa.array(parts, pa.int64()), "payload": pa.array([whole, *asked], pa.binary()), "n": pa.array([int(c.sum()), *zeros], pa.int64()), "v": pa.array([int((c > 0).sum()), *zeros], pa.int64())})
+
+    return table.mapInArrow(partial, "bucket int, part long, payload binary").groupBy("bucket").applyInArrow(merge, "bucket int, part long, payload binary, n long, v long")
+
+
+def taught(table: DataFrame, model: Model) -> None:
+    """Takes the attention model's weights through all windows of all training documents of a cut_table.
+
+    Every task goes once through its documents, from the same weights, and the tasks' weights are averaged by windows."""
+    model.rest()
+    shared = table.sparkSession.sparkContext.broadcast(replace(model, ranks={}))
 
     def run(batches):
-        for batch in batches:
-            for blob in batch.column(0):
-                h, c = unpack(blob.as_buffer(), np.uint64, np.int64)
-                ok = pick(h, c)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(h[ok], c[ok])], pa.binary())], names=["payload"])
-
-    got = [unpack(bytes(r[0]), np.uint64, np.int64) for r in counts.select("payload").mapInArrow(run, "payload binary").collect()]
-    h, c = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int64)))
-    order = np.argsort(h)
-    return h[order], c[order]
+        model = shared.value
+        model.ready(cutting=False)
+        descent, met, rng = Descent(model.weights), 0, np.random.default_rng(3)
+        for docs in (docs.training() for _, some in cuts(batches) for docs in some):
+            if not len(docs.ids):
+                continue
+            stream, sizes, _, _ = laid(model.end, docs)
+            windows, goals = lessons(model, stream, sizes)
+            for some in np.array_split(rng.permutation(len(windows)), -(-len(windows) // BATCH)):
+                descent.step(windows[some], goals[some], RATE)
+            met += len(windows)
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array([met], pa.int64()), pa.array([pack(*descent.w.values())], pa.binary())], names=["n", "payload"])
+
+    total, sums = 0, {k: np.zeros(w.shape) for k, w in model.weights.items()}
+    for row in table.mapInArrow(run, "n long, payload binary").collect():
+        total += row[0]
+        for a, got in zip(sums.values(), unpack(bytes(row[1]), *[np.float32] * len(sums)), strict=True):
+            a += row[0] * got.reshape(a.shape)
+    if total:
+        model.weights = {k: (a / total).astype(np.float32) for k, a in sums.items()}
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -467,27 +626,26 @@ def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.nda
     return np.where(keys[at] == asked, values[at], 0)
 
 
-def mixed(share: float, c: np.ndarray, logs: np.ndarray, worth: np.ndarray) -> np.ndarray:
-    """log10 of the mixture of known words, by their count among those of their class, and units."""
-    units = logs + math.log10(1 - share)
-    known = worth + np.log10(np.maximum(c, 1)) + math.log10(share)
-    return np.where(c > 0, np.logaddexp(known * math.log(10), units * math.log(10)) / math.log(10), units)
+def gains(c: np.ndarray, gap: np.ndarray):
+    """For each of SHARES log10 of what the mixture makes of units' probability, by words' counts and what one is worth over it."""
+    x = np.where(c > 0, 10.0 ** np.minimum(30, gap + np.log10(np.maximum(c, 1))), 0).astype(np.float32)
+    for share in SHARES.astype(np.float32):
+        yield np.log(1 - share + share * x) * np.float32(1 / math.log(10))
 
 
-def whole_seen(stats: DataFrame, n: int) -> Seen:
+def whole_seen(stats: DataFrame, n: int, buckets: int) -> Seen:
     """What counts_table counted of units, brought to the driver bucket by bucket."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for row in stats.select("payload").toLocalIterator():
-        k, c = unpack(bytes(row[0]), np.uint64, np.int64)
-        keys.append(k.astype(np.int64))
+    keys, counts, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros((n, 2 + SKETCH), np.int64)
+    for row in stats.select("bucket", "payload").toLocalIterator():
+        k, c = unpack(bytes(row[1]), np.int64, np.int64)
+        if row[0] >= 2 * buckets:
+            seen[k] = c.reshape(len(k), -1)
+            continue
+        keys.append(k)
         counts.append(c)
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    cut = np.searchsorted(keys, n * n)
-    rest = np.zeros((GROUPS + 1) * n, np.int64)
-    rest[keys[cut:] - n * n] = counts[cut:]
-    return Seen(rest[: GROUPS * n].reshape(GROUPS, n), rest[GROUPS * n :], (keys[:cut], counts[:cut]))
+    return Seen(seen[:, 1], seen[:, 0], seen[:, 2:], (keys[order], counts[order]))
 
 
 def score(docs: DataFrame, tokenizer: str = TOKENIZER, fold: int = 10) -> DataFrame:
@@ -497,107 +655,60 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, fold: int = 10) -> DataFr
     rows, total = corpus_size(docs)
     training = docs.where(crc_remainder("doc_id", fold) != 0)
     buckets = bucket_count(total // 2, 8 << 20)
-    drawn = SAMPLE_DOCS + CHECK_DOCS + rows // MORE_DOCS
-    part = max(1, rows // drawn)
-    sample = training.where(F.crc32(F.concat(F.lit("lm"), F.col("doc_id").cast("string")).cast("binary")) % part == 0)
-    texts = [(r[1] or "").encode() for r in sorted(sample.collect(), key=lambda r: crc(r[0]))][: 2 * drawn]
-    fold_case = lambda b: b.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
-    checks = texts[:: 1 + SAMPLE_DOCS // CHECK_DOCS]
-    learned = [fold_case(t) for k, t in enumerate(texts) if k % (1 + SAMPLE_DOCS // CHECK_DOCS)]
     ranks = read_ranks(tokenizer)
-    cutter = blank(ranks)
-    cutter.ready()
-    groups = document_groups(streams_of(cutter, learned), len(cutter.cls))
-    own = seen_in(groups, streams_of(cutter, [fold_case(t) for t in checks]))
-    cutter.rest()
-    counted = checkpointed(counts_table(training, buckets, spark.sparkContext.broadcast((cutter, groups))))
-    counts = counted.where(F.col("bucket") < buckets)
-    seen = whole_seen(counted.where(F.col("bucket") >= buckets), len(cutter.cls))
-    model = fit(ranks, learned, seen=seen)
-    found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    plain = blank(ranks)
+    table = checkpointed(cut_table(docs, fold, spark.sparkContext.broadcast(plain)))
+    counted = checkpointed(counts_table(table, buckets, len(plain.cls), len(plain.cls) - 1))
+    words = counted.where(F.col("bucket") < buckets)
+    seen = whole_seen(counted.where(F.col("bucket") >= buckets), len(plain.cls), buckets)
+    drawn = SAMPLE_DOCS + CHECK_DOCS
+    start = training.where(F.crc32(F.concat(F.lit("lm"), F.col("doc_id").cast("string")).cast("binary")) % max(1, rows // drawn) == 0)
+    texts = [(r[1] or "").encode() for r in sorted(start.collect(), key=lambda r: crc(r[0]))][: 2 * drawn]
+    fold_case = lambda b: b.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    model = fit(ranks, [fold_case(t) for t in texts], seen=seen)
+    taught(table, model)
+    found = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = training.count()
     n, v = int(found[0]) + ends, int(found[1]) + (ends > 0)
     bottom = math.log10(n + 0.1 * (v + 1)) if n or v else math.log10(0.1)
-    top = chosen(counts, lambda h, c, least=max(2, n >> 18): c >= least)
-    from .common import Chunk
-
-    if checks:
-        model.learn(seen.without(own))
-        h, logs, worth, _, _ = word_logs(model, Chunk(np.arange(len(checks)), checks))
-        wanted = np.unique(h)
-        keys, values = chosen(counts, lambda a, c, wanted=wanted: np.isin(a, wanted))
-        c = np.maximum(0, looked_up(keys, values, h) - 1)
-        model.share = float(max(np.linspace(0.05, 0.95, 19), key=lambda s: mixed(s, c, logs, worth).sum()))
-        model.learn(seen)
     model.rest()
-    shared = spark.sparkContext.broadcast((model, top))
+    shared = spark.sparkContext.broadcast(replace(model, ranks={}))
     end_base = math.log10(ends + 0.1) - bottom
 
-    def run(batches):
-        model, (keys, values) = shared.value
-        model.ready()
-        held, done, size = [], [], 0
-
-        def send():
-            h, doc, lp, worth = (np.concatenate([x[k] for x in held]) for k in range(4))
-            out = [(b, 0, pack(h[at], doc[at], lp[at], worth[at])) for b, at in by_bucket((h % np.uint64(buckets)).astype(np.int64))]
-            ids, sums = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-            out += [(b, 1, pack(ids[at], sums[at])) for b, at in by_bucket((mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "tag", "payload"])
-
-        for chunk in chunks(batches):
-            h, logs, worth, words, end = word_logs(model, chunk)
-            c = looked_up(keys, values, h)
-            doc = np.repeat(np.arange(len(words)), words)
-            often = c > 0
-            base = np.log10(c[often] + 0.1) - bottom
-            both = mixed(model.share, c[often], logs[often], worth[often])
-            add = lambda x, at: np.bincount(at, x, len(words))  # noqa: E731, B023
-            sums = np.stack([words + 1.0, add(np.ones(len(both)), doc[often]) + (ends > 0), add(base, doc[often]) + end_base, add(both, doc[often]) + end], axis=1)
-            held.append((h[~often], chunk.ids[doc[~often]], logs[~often].astype(np.float32), worth[~often].astype(np.float32)))
-            done.append((chunk.ids, sums))
-            size += len(held[-1][0]) + len(words)
-            if size >= HELD:
-                yield from send()
-                held, done, size = [], [], 0
-        if done:
-            yield from send()
-
-    share = model.share
-
-    def resolve(sent: pa.Table, known: pa.Table) -> pa.Table:
-        keys, values = unpack(known["payload"][0].as_buffer(), np.uint64, np.int64) if len(known) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        ids, sums = [], []
-        for tag, blob in zip(sent["tag"].to_pylist(), sent["payload"], strict=True):
-            if tag:
-                a, s = unpack(blob.as_buffer(), np.int64, np.float64)
-                ids.append(a)
-                sums.append(s.reshape(-1, 4))
-                continue
-            h, doc, lp, worth = unpack(blob.as_buffer(), np.uint64, np.int64, np.float32, np.float32)
-            c = looked_up(keys, values, h)
-            base = np.log10(c + 0.1) - bottom
-            both = mixed(share, c, lp.astype(np.float64), worth.astype(np.float64))
-            u, at = np.unique(doc, return_inverse=True)
-            ids.append(u)
-            sums.append(np.stack([np.zeros(len(u)), np.bincount(at, c > 0, len(u)), np.bincount(at, base, len(u)), np.bincount(at, both, len(u))], axis=1))
-        if not ids:
-            return pa.table({"bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
-        ids, sums = np.concatenate(ids), np.concatenate(sums)
-        u, at = np.unique(ids, return_inverse=True)
-        sums = np.stack([np.bincount(at, sums[:, k], len(u)) for k in range(4)], axis=1)
-        out = [(b, pack(u[at], sums[at])) for b, at in by_bucket((mix(u.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))]
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
-
-    def close(table: pa.Table) -> pa.Table:
-        parts = [unpack(b.as_buffer(), np.int64, np.float64) for b in table["payload"]]
-        ids, sums = np.concatenate([p[0] for p in parts]), np.concatenate([p[1].reshape(-1, 4) for p in parts])
-        u, at = np.unique(ids, return_inverse=True)
-        n_tokens, known, base, both = (np.bincount(at, sums[:, k], len(u)) for k in range(4))
-        return pa.table({"doc_id": u, "n_tokens": np.rint(n_tokens).astype(np.int64), "n_known": np.rint(known).astype(np.int64), "base_score": base, "score": both})
-
-    sent = docs.mapInArrow(run, "bucket int, tag int, payload binary").groupBy("bucket").cogroup(counts.select("bucket", "payload").groupBy("bucket")).applyInArrow(resolve, "bucket int, payload binary")
-    closed = sent.groupBy("bucket").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    def run(mine: pa.Table, known: pa.Table) -> pa.Table:
+        model = shared.value
+        model.ready(cutting=False)
+        ids, sums, left_out = [], [np.zeros((0, 3 + len(SHARES)))], np.zeros(len(SHARES))
+        for _, some in cuts(mine.select(["part", "payload"]).to_batches()):
+            some = list(some)
+            u = np.unique(np.concatenate([docs.hashes for docs in some]))
+            counts = np.zeros(len(u), np.int64)
+            got = dict(zip(known["bucket"].to_pylist(), known["payload"], strict=True))
+            for b, at in by_bucket((u % np.uint64(buckets)).astype(np.int64)):
+                counts[at] = unpack(expanded(got[b].as_buffer()), np.int64)[0]
+            for docs in some:
+                logs, gap, less, end = word_logs(model, docs)
+                distinct = counts[np.searchsorted(u, docs.hashes)]
+                c, doc = distinct[docs.which], np.repeat(np.arange(len(docs.words)), docs.words)
+                learned = ~docs.held[doc]
+                left_out += [x.sum(dtype=np.float64) for x in gains(c[learned] - 1, gap[learned] - less[learned])]
+                add = lambda x: np.bincount(doc, x, len(docs.words))  # noqa: E731, B023
+                plain = add(logs) + end
+                base = add((np.log10(distinct + 0.1) - bottom)[docs.which]) + end_base
+                ids.append(docs.ids)
+                sums.append(np.stack([docs.words + 1.0, add(c > 0) + (ends > 0), base, *(plain + add(x) for x in gains(c, gap))], axis=1))
+        # the last row is no document's: what the training words come to
+        sums = np.concatenate([*sums, np.concatenate([np.zeros(3), left_out])[None, :]])
+        whole = lambda k: pa.array(np.rint(sums[:, k]).astype(np.int64))
+        doc_ids = pa.concat_arrays([*map(pa.array, ids), pa.array([None], pa.int64())])
+        return pa.table({"doc_id": doc_ids, "n_tokens": whole(0), "n_known": whole(1), "base_score": sums[:, 2], "scores": pa.array(list(sums[:, 3:]), pa.list_(pa.float64()))})
+
+    scored = table.groupBy("part").cogroup(words.where("part >= 0").select("part", "bucket", "payload").groupBy("part"))
+    scored = checkpointed(scored.applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, scores array<double>"))
+    # the share under which the training words, each left out of its own counts, are likeliest
+    share = int(np.argmax(np.sum([np.zeros(len(SHARES)), *(r[0] for r in scored.where("doc_id is null").select("scores").collect())], axis=0)))
+    sums = [F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum(F.col("scores")[share]).alias("score")]
+    closed = scored.where("doc_id is not null").groupBy("doc_id").agg(*sums)
     return closed.select("doc_id", (crc_remainder("doc_id", fold) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -468,6 +468,41 @@ def test_lm_counts_are_those_of_all_training_documents(docs, monkeypatch):
     assert len(model.pairs[0]) == len(pairs) > 0
 
 
+def test_lm_weights_follow_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 8)
+    monkeypatch.setattr(lm_score, "CHECK_DOCS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["red", "green", "blue", "tree", "house", "river"], 60))) for i in range(60)]
+    # learned from, but not among those that the weights start from: the same words in another order leave all counts as they are
+    late = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 and zlib.crc32(f"lm{i}".encode()) % 6}
+    other = [(i, " ".join(sorted(t.split())) if i in late else t) for i, t in rows]
+    a, b = ({r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, other))
+    held = [i for i, _ in rows if a[i]["held_out"]]
+    assert held
+    for i in held:
+        assert a[i]["base_score"] == pytest.approx(b[i]["base_score"])
+        assert abs(a[i]["score"] - b[i]["score"]) > 1e-3
+
+
+def test_lm_gradients():
+    rng = np.random.default_rng(1)
+    model = lm_score.fit({bytes([b]): b for b in range(256)}, [b" ".join(bytes(rng.integers(97, 103, 3).astype(np.uint8)) for _ in range(150)), b""], steps=5)
+    streams = lm_score.streams_of(model, [b"abc dab " * 9, b"a"])
+    units, sizes = np.concatenate(streams).astype(np.int64), np.array([len(x) for x in streams])
+    descent = lm_score.Descent(model.weights)
+    descent.step(*lm_score.lessons(model, units, sizes), 0.0)
+    start = model.weights
+    for name, (mean, _) in descent.moment.items():
+        at = np.unravel_index(np.abs(mean).argmax(), mean.shape)
+        losses = []
+        for move in (0.01, -0.01):
+            model.weights = {k: w.copy() for k, w in start.items()}
+            model.weights[name][at] += move
+            model.ready()
+            losses.append(-float((lm_score.unit_logs(model, units, sizes) - model.inside[units]).astype(float).mean()) * math.log(10))
+        assert 10 * mean[at] == pytest.approx((losses[0] - losses[1]) / 0.02, rel=0.02)
+
+
 def test_units_are_a_distribution():
     model = lm_score.fit({bytes([b]): b for b in range(256)}, [b"a b a", b"b a"], steps=5)
     prefix = model.units_of([b"a"])[0]
