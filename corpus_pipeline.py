@@ -7,14 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontam, langid, mixing, parity_join, suffix_dedup
+from sparkloom.llm import common, decontam, langid, mixing, parity_join, suffix_dedup
+
+
+def bounded(stage):
+    """The stage in batches of bounded size, as its executors share their memory with those of all other stages."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 STAGES = [
-    ("language id", langid.stage),
-    ("n-gram Jaccard join", parity_join.stage),
-    ("suffix-array dedup", suffix_dedup.stage),
-    ("benchmark decontamination", decontam.stage),
-    ("mixing", mixing.stage),
+    ("language id", bounded(langid.stage)),
+    ("n-gram Jaccard join", bounded(parity_join.stage)),
+    ("suffix-array dedup", bounded(suffix_dedup.stage)),
+    ("benchmark decontamination", bounded(decontam.stage)),
+    ("mixing", bounded(mixing.stage)),
 ]
 
 #: The stages train a model, expand suffix intervals and compare sketches; the tests compare them with brute force.
