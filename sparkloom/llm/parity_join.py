@@ -262,15 +262,33 @@ def pair_rows(a, b, config, need, count, buckets: int) -> list[tuple[int, bytes]
     return [(x, pack(a[at], b[at], config[at], need[at], count[at].astype(np.int32))) for x, at in by_bucket(to)]
 
 
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that edges (a, b) connect each of n nodes with."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return root
+
+
 def enough(table: pa.Table) -> pa.Table:
-    """(a, b) that share as many blocks of a band as they need."""
+    """(a, b): ties that connect what pairs connect that share as many blocks of a band as they need.
+
+    Only components of ties count, so a bucket sends one for each node and not its pairs, which may grow with the square.
+    """
     parts = [unpack(p.as_buffer(), np.int64, np.int64, np.uint16, np.float32, np.int32) for p in table["payload"]]
     a, b, c, need, count = (np.concatenate([p[k] for p in parts]) for k in range(5))
     order = np.lexsort((c, b, a))
     a, b, c, need, count = a[order], b[order], c[order], need[order], count[order]
     first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
     ok = first[np.add.reduceat(count, first) >= np.minimum.reduceat(need, first)]
-    return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+    node, ends = np.unique(np.concatenate([a[ok], b[ok]]), return_inverse=True)
+    root = roots_of(len(node), ends[: len(ok)], ends[len(ok) :])
+    out = np.flatnonzero(root != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[root[out]]), "b": pa.array(node[out])})
 
 
 def shared_blocks(docs: DataFrame, unique: DataFrame, size: int, bands: Bands, total: int) -> DataFrame:
