@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_bucket, checkpointed, chunks, corpus_size, crc, crc_remainder, expanded, mix, pack, ranges, squeezed, tidy, unpack
+from .common import bounded_batches, bucket_count, by_bucket, checkpointed, chunks, corpus_size, crc, crc_remainder, expanded, mix, pack, ranges, squeezed, steady, tidy, unpack
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SAMPLE_DOCS, CHECK_DOCS = 320, 40  # about so many documents together give the weights that all training documents then start from
@@ -50,8 +50,8 @@ SHARES = np.linspace(0.05, 0.95, 19)  # of the mixture; each is summed, the best
 PRIOR = 5.0  # occurrences that a unit's share of its class counts for, beside those after the unit before it
 BOUND = np.float32(60)  # of attention scores and of classes' logits
 CACHE = 200_000
-HELD = 1 << 21
-CUT_BYTES, PART_BYTES = 1 << 20, 4 << 20  # of text whose distinct words are held once, and of text whose words are counted as one
+HELD = 1 << 19  # distinct pairs that a task holds at most before it sends them
+CUT_BYTES, PART_BYTES = (1 << 20) - 64, 4 << 20  # of text whose distinct words are held once, and of text whose words are counted as one
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,6 +59,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, first all lowest ones: the high ones are mostly zeros, so that they compress to less."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).reshape(-1)
+
+
+def unplaned(a: np.ndarray, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(a.reshape(size, len(a) // size).T).reshape(-1).view(kind)
+
+
 @dataclass
 class Seen:
     """What is counted over texts."""
@@ -84,11 +94,15 @@ class Cut:
     KINDS = (np.int64, np.bool_, np.int64, np.uint32, np.uint64, np.int32, np.int32)
 
     def packed(self) -> bytes:
-        return squeezed(pack(*(a.astype(t, copy=False) for a, t in zip((self.ids, self.held, self.words, self.which, self.hashes, self.lengths, self.flat), self.KINDS, strict=True))))
+        """Hashes, which are sorted, are sent as the steps between them."""
+        fields = (self.ids, self.held, self.words, self.which, np.diff(self.hashes, prepend=np.uint64(0)), self.lengths, self.flat)
+        return squeezed(pack(*(planes(a.astype(t, copy=False)) for a, t in zip(fields, self.KINDS, strict=True))))
 
     @classmethod
     def read(cls, blob) -> Cut:
-        return cls(*unpack(expanded(blob.as_buffer()), *cls.KINDS))
+        fields = unpack(expanded(blob.as_buffer()), *[np.uint8] * len(cls.KINDS))
+        ids, held, words, which, steps, lengths, flat = (unplaned(a, t) for a, t in zip(fields, cls.KINDS, strict=True))
+        return cls(ids, held, words, which, np.cumsum(steps, dtype=np.uint64), lengths, flat)
 
     def training(self) -> Cut:
         kept = ~self.held
@@ -125,8 +139,9 @@ class Model:
             self.opens = np.zeros(max(self.ranks.values(), default=0) + 1, bool)
             self.opens[[k for b, k in self.ranks.items() if b[:1] == b" "]] = True
         self.end, self.begin = len(self.cls) - 1, len(self.weights["embed"]) - 1
-        self.known: dict[int, int] = {}
-        self.store: list[np.ndarray] = []
+        # words cut before: their sorted hashes, where each one's units begin in the store, and how many they are
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.store = np.zeros(0, np.int32)
         w = self.weights
         # the last row is that of places outside of a document: its key's score counts for nothing, as the column of ones is 0 there
         table = np.concatenate([w["embed"], np.zeros((1, WIDTH), np.float32)]).astype(np.float32)
@@ -148,12 +163,17 @@ class Model:
         """The units of each word; words have no spaces, so that only a word's first piece begins with one."""
         if not words:
             return []
-        got = np.array(self.bpe.encode_ordinary(" " + " ".join(w.decode("utf-8", "replace") for w in words)), np.int32)
+        got, lengths = self.flat_units(b" ".join(words))
+        return np.split(got, np.cumsum(lengths)[:-1])
+
+    def flat_units(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The units of words with a space between them, end to end, and how many each has."""
+        got = np.array(self.bpe.encode_ordinary(" " + words.decode("utf-8", "replace")), np.int32)
         first = np.flatnonzero(self.opens[got])
         got *= 2
-        got[np.append(first[1:], len(got)) - 1] += 1
-        ends = np.append(first[1:], len(got)).tolist()
-        return [got[a:b] for a, b in zip(first.tolist(), ends, strict=True)]
+        ends = np.append(first[1:], len(got))
+        got[ends - 1] += 1
+        return got, (ends - first).astype(np.int32)
 
     def inner_logs(self, before: np.ndarray, units: np.ndarray) -> np.ndarray:
         """What knowing the unit before, in the same word, adds to log10 of a unit's share of its class."""
@@ -167,7 +187,7 @@ class Model:
         if not len(keys):
             return unseen, np.zeros(len(unseen))
         asked = before * len(self.cls) + units
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        at = placed(keys, asked)
         there = keys[at] == asked
         return np.where(there, values[at], unseen), np.where(there, self.pair_less[at], 0)
 
@@ -187,10 +207,12 @@ class Model:
         self.pair_less = (np.log10(((c - 1) / share + PRIOR) / (total[at] - 1 + PRIOR)) - self.pairs[1]).astype(np.float32)
 
 
+AHEAD = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :]  # of a query over a key
+
+
 def distance_bias(bias: np.ndarray) -> np.ndarray:
     """(queries, keys): the bias of each distance, and a large negative number where a key comes after its query."""
-    query, key = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-    return np.where(key <= query, bias[np.clip(query - key, 0, WINDOW - 1)], -1e9).astype(np.float32)
+    return np.append(bias, -1e9).astype(np.float32)[np.where(AHEAD >= 0, AHEAD, WINDOW)]
 
 
 def windows_of(rows: np.ndarray, sizes: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,12 +282,14 @@ class Descent:
         w, many, new = self.w, len(windows), WINDOW - CONTEXT
         scale = np.float32(1 / math.sqrt(WIDTH))
         e = np.concatenate([w["embed"], np.zeros((1, WIDTH), np.float32)])
-        asks, keys, values = e @ w["wq"] * scale, e @ w["wk"], e @ w["wv"]
+        asks, keys = e @ w["wq"] * scale, e @ w["wk"]
+        values = np.ones((len(e), 1 + WIDTH), np.float32)  # the first column adds up the weights of attention
+        values[:, 1:] = e @ w["wv"]
         windows = windows.astype(np.intp)
         asking = np.ascontiguousarray(windows[:, CONTEXT:])
-        q, k, v = asks.take(asking, axis=0), keys.take(windows, axis=0), values.take(windows, axis=0)
-        s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-        most = lambda a: float(np.linalg.norm(a, axis=1).max())
+        met, q, k, v = e.take(windows, axis=0), asks.take(asking, axis=0), keys.take(windows, axis=0), values.take(windows, axis=0)
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        most = lambda a: math.sqrt(float((a * a).sum(axis=1).max()))
         if most(asks) * most(keys) > BOUND:
             np.clip(s, -BOUND, BOUND, out=s)
         s += distance_bias(w["bias"])
@@ -273,32 +297,35 @@ class Descent:
         gone = windows == len(e) - 1
         edge = np.flatnonzero(gone.any(axis=1))
         s[edge] *= ~gone[edge][:, None, :]
-        s /= np.maximum(s @ np.ones(WINDOW, np.float32), np.float32(1e-30))[:, :, None]
         seen = np.matmul(s, v)
+        part = 1 / np.maximum(seen[:, :, :1], np.float32(1e-30))  # weights of attention are s * part
+        seen = seen[:, :, 1:] * part
         h = np.ones((many * new, WIDTH + 1), np.float32)  # the last column stands for the bias
-        np.add(seen, e.take(asking, axis=0), out=h.reshape(many, new, -1)[:, :, :WIDTH])
+        np.add(seen, met[:, CONTEXT:], out=h.reshape(many, new, -1)[:, :, :WIDTH])
         p = h @ np.concatenate([w["out"], w["out_bias"][None, :]])
-        if (most(values) + most(e)) * most(w["out"].T) + float(w["out_bias"].max()) > BOUND:
+        if (most(values[:, 1:]) + most(e)) * most(w["out"].T) + float(w["out_bias"].max()) > BOUND:
             np.minimum(p, BOUND, out=p)
         np.exp(p, out=p)
         goal = goal.reshape(-1)
         real = np.flatnonzero(goal >= 0)
-        weight = np.zeros(len(goal), np.float32)
-        weight[real] = 1 / max(1, len(real))
-        p *= (weight / (p @ np.ones(CLASSES, np.float32)))[:, None]
-        p[real, goal[real]] -= weight[real]
-        dh = (p @ w["out"].T).reshape(many, new, WIDTH)
-        ds = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
-        ds -= (dh * seen).reshape(-1, WIDTH).dot(np.ones(WIDTH, np.float32)).reshape(many, new, 1)
+        total = p @ np.ones(CLASSES, np.float32)
+        weight = np.zeros(len(goal), np.float32)  # p * weight is the gradient at the logits
+        weight[real] = 1 / max(1, len(real)) / total[real]
+        p[real, goal[real]] -= total[real]
+        h *= weight[:, None]
+        dh = (p @ w["out"].T * weight[:, None]).reshape(many, new, WIDTH)
+        out = (p.T @ h).T
+        back = dh * part
+        ds = np.matmul(back, v[:, :, 1:].transpose(0, 2, 1))
+        ds -= (back * seen).reshape(-1, WIDTH).dot(np.ones(WIDTH, np.float32)).reshape(many, new, 1)
         ds *= s
-        at, back, out = asking.reshape(-1), ds.transpose(0, 2, 1), h.T @ p
-        dq, direct = added(at, np.matmul(ds, k), len(e)) * scale, added(at, dh, len(e))
-        at = windows.reshape(-1)
-        dk, dv = added(at, np.matmul(back, q), len(e)), added(at, np.matmul(s.transpose(0, 2, 1), dh), len(e))
-        query, key = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
+        flat = lambda a: a.reshape(-1, WIDTH)
+        dq, dk, dv = flat(np.matmul(ds, k)) * scale, flat(np.matmul(ds.transpose(0, 2, 1), q)), flat(np.matmul(s.transpose(0, 2, 1), back))
+        de = (dk @ w["wk"].T + dv @ w["wv"].T).reshape(many, WINDOW, WIDTH)
+        de[:, CONTEXT:] += dh + (dq @ w["wq"].T).reshape(dh.shape)
         grads = {
-            "embed": (direct + dq @ w["wq"].T + dk @ w["wk"].T + dv @ w["wv"].T)[:-1], "wq": e.T @ dq, "wk": e.T @ dk, "wv": e.T @ dv,
-            "bias": np.bincount(np.clip(query - key, 0, WINDOW - 1).reshape(-1), (ds.sum(axis=0) * (key <= query)).reshape(-1), WINDOW), "out": out[:-1], "out_bias": out[-1],
+            "embed": added(windows.reshape(-1), de, len(e))[:-1], "wq": flat(met[:, CONTEXT:]).T @ dq, "wk": flat(met).T @ dk, "wv": flat(met).T @ dv,
+            "bias": np.bincount(np.maximum(AHEAD, 0).reshape(-1), (ds.sum(axis=0) * (AHEAD >= 0)).reshape(-1), WINDOW), "out": out[:-1], "out_bias": out[-1],
         }
         self.steps += 1
         for name, g in grads.items():
@@ -427,24 +454,30 @@ def cut(model: Model, chunk, fold: int) -> Cut:
     """A chunk's documents in words and units."""
     hashes, lo, hi, first, last = chunk.words(fold=True)
     distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-    if len(model.known) > CACHE:
-        model.known, model.store = {}, []
-    asked = distinct.tolist()
-    new = [k for k, h in enumerate(asked) if h not in model.known]
-    folded = bytes(np.where((chunk.buf >= 65) & (chunk.buf <= 90), chunk.buf + np.uint8(32), chunk.buf)) if new else b""
-    for k, units in zip(new, model.units_of([folded[first[at] : last[at]] for at in where[new].tolist()]), strict=True):
-        model.known[asked[k]] = len(model.store)
-        model.store.append(units)
-    units = [model.store[model.known[h]] for h in asked]
-    lengths = np.fromiter((len(u) for u in units), np.int32, len(units))
+    if len(model.known[0]) > CACHE:
+        model.known, model.store = tuple(a[:0] for a in model.known), model.store[:0]
+    hashes = model.known[0]
+    at = np.searchsorted(hashes, distinct)
+    new = distinct != hashes[np.minimum(at, len(hashes) - 1)] if len(hashes) else np.ones(len(distinct), bool)
+    if new.any():
+        a, many = first[where[new]], last[where[new]] - first[where[new]] + 1
+        text = chunk.buf[ranges(a, many)]  # each word with what follows it, a space or the like
+        text[np.cumsum(many) - 1] = 32
+        units, lengths = model.flat_units(np.where((text >= 65) & (text <= 90), text + np.uint8(32), text)[:-1].tobytes())
+        begin = len(model.store) + np.cumsum(lengths, dtype=np.int64) - lengths
+        model.store = np.concatenate([model.store, units])
+        model.known = tuple(np.insert(a, at[new], b) for a, b in zip(model.known, (distinct[new], begin, lengths), strict=True))
+    at = np.searchsorted(model.known[0], distinct)
+    begin, lengths = model.known[1][at], model.known[2][at]
     held = np.fromiter((crc(i) % fold == 0 for i in chunk.ids.tolist()), bool, len(chunk.ids))
-    return Cut(chunk.ids, held, hi - lo, which.astype(np.uint32), distinct, lengths, np.concatenate(units) if units else np.zeros(0, np.int32))
+    return Cut(chunk.ids, held, hi - lo, which.astype(np.uint32), distinct, lengths, model.store[ranges(begin, lengths.astype(np.int64))].astype(np.int32, copy=False))
 
 
 def cut_table(docs: DataFrame, fold: int, shared) -> DataFrame:
     """(part, payload): all documents as packed Cuts, some in each part, so that words are cut in units once. shared has a blank model."""
 
     def run(batches):
+        steady()
         model = shared.value
         model.ready()
         first, parts, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -469,6 +502,7 @@ def cut_table(docs: DataFrame, fold: int, shared) -> DataFrame:
 
 def cuts(batches):
     """The Cuts of each part of a cut_table, with its number."""
+    steady()
     for batch in batches:
         for part, blobs in zip(batch.column(0), batch.column(1), strict=True):
             yield part.as_py(), (Cut.read(blob) for blob in blobs.values)
@@ -525,20 +559,19 @@ def counts_table(table: DataFrame, buckets: int, n: int, end: int) -> DataFrame:
     wide = 2 + SKETCH
 
     def partial(batches):
-        pairs, size = [], 0
+        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         seen = np.zeros((n, wide), np.int64)
 
         def send(rows, part=-1):
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "part", "payload"])
 
         def dealt():
-            u, inv = np.unique(np.concatenate([a for a, _ in pairs]), return_inverse=True)
-            total = np.bincount(inv, np.concatenate([b for _, b in pairs])).astype(np.uint32)
-            return [(buckets + b, pack(u[at], total[at])) for b, at in by_bucket((mix(u.copy()) % np.uint64(buckets)).astype(np.int64))]
+            u, total = held
+            return [(buckets + b, pack(u[at], total[at].astype(np.uint32))) for b, at in by_bucket((mix(u.copy()) % np.uint64(buckets)).astype(np.int64))]
 
-        for part, some in cuts(batches):
-            words = []
-            for docs in some:
+        for part, blobs in cuts(batches):
+            words, pairs = [], [held]
+            for docs in blobs:
                 docs = docs.training()
                 c = np.bincount(docs.which, minlength=len(docs.hashes))
                 words.append((docs.hashes, c))
@@ -550,15 +583,17 @@ def counts_table(table: DataFrame, buckets: int, n: int, end: int) -> DataFrame:
                 seen[:, 1:] += sketched(n, stream, sizes)
                 inner = docs.inner()
                 often = np.repeat(c, docs.lengths)[inner]
-                pairs.append(((docs.flat[inner - 1].astype(np.uint64) * np.uint64(n) + docs.flat[inner].astype(np.uint64))[often > 0], often[often > 0]))
-                size += len(pairs[-1][0])
+                inner, often = inner[often > 0], often[often > 0]
+                pairs.append((docs.flat[inner - 1].astype(np.uint64) * np.uint64(n) + docs.flat[inner].astype(np.uint64), often))
+            u, inv = np.unique(np.concatenate([a for a, _ in pairs]), return_inverse=True)
+            held = u, np.bincount(inv, np.concatenate([b for _, b in pairs]), len(u)).astype(np.int64)
             u, inv = np.unique(np.concatenate([h for h, _ in words]), return_inverse=True)
             total = np.bincount(inv, np.concatenate([c for _, c in words]), len(u)).astype(np.uint32)
             yield send([(b, pack(u[at], total[at])) for b, at in by_bucket((u % np.uint64(buckets)).astype(np.int64))], part)
-            if size >= HELD:
+            if len(held[0]) >= HELD:
                 yield send(dealt())
-                pairs, size = [], 0
-        if size:
+                held = held[0][:0], held[1][:0]
+        if len(held[0]):
             yield send(dealt())
         some = np.flatnonzero(seen[:, 1])
         if len(some):
@@ -622,10 +657,18 @@ def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.nda
     """values by sorted keys, 0 where a key isn't there."""
     if not len(keys):
         return np.zeros(len(asked), values.dtype)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    at = placed(keys, asked)
     return np.where(keys[at] == asked, values[at], 0)
 
 
+def placed(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The place in sorted keys of each one asked for, or of one beside; in order, which spares the memory."""
+    order = np.argsort(asked)
+    at = np.empty(len(asked), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, asked[order]), len(keys) - 1)
+    return at
+
+
 def gains(c: np.ndarray, gap: np.ndarray):
     """For each of SHARES log10 of what the mixture makes of units' probability, by words' counts and what one is worth over it."""
     x = np.where(c > 0, 10.0 ** np.minimum(30, gap + np.log10(np.maximum(c, 1))), 0).astype(np.float32)
@@ -652,6 +695,7 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, fold: int = 10) -> DataFr
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); fold 0 of `fold` is not learned from."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows, total = corpus_size(docs)
     training = docs.where(crc_remainder("doc_id", fold) != 0)
     buckets = bucket_count(total // 2, 8 << 20)
