@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bucket_count, by_bucket, checkpointed, chunks, corpus_size, crc, crc_remainder, expanded, mix, pack, ranges, squeezed, steady, tidy, unpack
+from .common import LARGE_ROWS, bounded_batches, bucket_count, by_bucket, checkpointed, chunks, corpus_size, crc, crc_remainder, expanded, mix, pack, ranges, squeezed, steady, tidy, unpack
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SAMPLE_DOCS, CHECK_DOCS = 320, 40  # about so many documents together give the weights that all training documents then start from
@@ -701,7 +701,7 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, fold: int = 10) -> DataFr
     buckets = bucket_count(total // 2, 8 << 20)
     ranks = read_ranks(tokenizer)
     plain = blank(ranks)
-    table = checkpointed(cut_table(docs, fold, spark.sparkContext.broadcast(plain)))
+    table = checkpointed(cut_table(docs, fold, spark.sparkContext.broadcast(plain)), options=LARGE_ROWS)
     counted = checkpointed(counts_table(table, buckets, len(plain.cls), len(plain.cls) - 1))
     words = counted.where(F.col("bucket") < buckets)
     seen = whole_seen(counted.where(F.col("bucket") >= buckets), len(plain.cls), buckets)
