@@ -645,7 +645,9 @@ def taught(table: DataFrame, model: Model) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([met], pa.int64()), pa.array([pack(*descent.w.values())], pa.binary())], names=["n", "payload"])
 
     total, sums = 0, {k: np.zeros(w.shape) for k, w in model.weights.items()}
-    for row in table.mapInArrow(run, "n long, payload binary").collect():
+    # as many tasks as cut the texts, though row groups could be dealt to more: the more tasks, the shorter each one's way
+    tasks = table.select(F.shiftright("part", 32)).distinct().count()
+    for row in table.coalesce(max(1, tasks)).mapInArrow(run, "n long, payload binary").collect():
         total += row[0]
         for a, got in zip(sums.values(), unpack(bytes(row[1]), *[np.float32] * len(sums)), strict=True):
             a += row[0] * got.reshape(a.shape)
