@@ -288,8 +288,8 @@ class Descent:
         windows = windows.astype(np.intp)
         asking = np.ascontiguousarray(windows[:, CONTEXT:])
         met, q, k, v = e.take(windows, axis=0), asks.take(asking, axis=0), keys.take(windows, axis=0), values.take(windows, axis=0)
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        most = lambda a: math.sqrt(float((a * a).sum(axis=1).max()))
+        s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        most = lambda a: math.sqrt(float(np.einsum("ij,ij->i", a, a).max()))
         if most(asks) * most(keys) > BOUND:
             np.clip(s, -BOUND, BOUND, out=s)
         s += distance_bias(w["bias"])
@@ -311,12 +311,12 @@ class Descent:
         total = p @ np.ones(CLASSES, np.float32)
         weight = np.zeros(len(goal), np.float32)  # p * weight is the gradient at the logits
         weight[real] = 1 / max(1, len(real)) / total[real]
-        p[real, goal[real]] -= total[real]
+        p.reshape(-1)[real * CLASSES + goal[real]] -= total[real]
         h *= weight[:, None]
         dh = (p @ w["out"].T * weight[:, None]).reshape(many, new, WIDTH)
         out = (p.T @ h).T
         back = dh * part
-        ds = np.matmul(back, v[:, :, 1:].transpose(0, 2, 1))
+        ds = np.matmul(back, np.ascontiguousarray(v[:, :, 1:].transpose(0, 2, 1)))
         ds -= (back * seen).reshape(-1, WIDTH).dot(np.ones(WIDTH, np.float32)).reshape(many, new, 1)
         ds *= s
         flat = lambda a: a.reshape(-1, WIDTH)
